@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +21,23 @@ _SCRATCH: dict[str, list[str]] = {}
 _TAG = ["query"]
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_twinloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = f"{tempfile.mkdtemp(prefix='twinloom-')}/twinloom.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(name)
+    sc._twinloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, read by Spark only (the folder may be in any store)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/twinloom/{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(_TAG[0], []).append(path)
     df.write.option("compression", "zstd").parquet(path)
@@ -60,7 +78,7 @@ def unit(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") / F.lit(float(1 << 52))
 
 
-def ranked(df: DataFrame, keys: list[str], u: str, tie: list[str], rank: str, per: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], u: str, tie: list[str], rank: str, per: int = 256) -> DataFrame:
     """df with ``rank`` (0, 1, ...) in the order of column u, then tie, within the groups of keys.
 
     No group is sorted by one task: a group of n rows is cut by u into about
@@ -88,6 +106,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     """mapInArrow of a function from one batch to columns (name -> list or array) of the schema's order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from twinloom.llm import chat, langid, media, mixing, packing
+from twinloom.llm import chat, langid, media, mixing, packing, tokenids, toxicity
 from twinloom.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,15 +31,21 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(messages, calls, results, chat.REPLY)
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.read_files(tokenids.write_files(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_media": op4_media,
     "op6_language_id": op6_language_id,
     "op7_chat": op7_chat,
+    "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
 }
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, written
+from twinloom.llm.common import map_batches, unit, written
 
 TRAIN_DOCS = 4000
 BITS = 16
@@ -60,7 +60,9 @@ def trigrams(text: str) -> np.ndarray:
 def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages in order, log-likelihoods [language, trigram]) from at most limit labelled rows of docs."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    rows = rows.orderBy(F.xxhash64("text"), "lang").limit(limit)
+    # about twice the sample passes the hash filter, so that no task gathers more than that
+    share = min(1.0, 2.0 * limit / max(1, docs.count()))
+    rows = rows.where(unit(F.col("text")) < share).orderBy(unit(F.col("text")), "lang").limit(limit)
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BITS, np.int64)

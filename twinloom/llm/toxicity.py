@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches
+from twinloom.llm.common import map_batches, unit
 
 EXAMPLES = 3000
 TERMS = 8192
@@ -196,12 +196,17 @@ def held_out(id_: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Index, list]:
     """(index, ids of the sample) from at most examples texts of each label, none of them held out."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id")))
-    order = F.xxhash64(F.lit(5), "_id")
-    few = known.where("_toxic = 1").orderBy(order, "_id").limit(examples).unionByName(known.where("_toxic = 0").orderBy(order, "_id").limit(examples))
+    shares = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = unit(F.lit(5), F.col("_id"))
+
+    def some(y: int) -> DataFrame:
+        # about twice the sample passes the hash filter, so that no task gathers more than that
+        return known.where((F.col("_toxic") == y) & (order < min(1.0, 2.0 * examples / max(1, shares.get(y, 0))))).orderBy(order, "_id").limit(examples)
+
+    few = some(1).unionByName(some(0))
     # at most 2 * examples ids: a bounded broadcast, so the texts are not shuffled
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").toPandas()
     rows = rows.sort_values(["doc_id", "_toxic", "text"], ignore_index=True)
-    shares = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     marks = rows["_toxic"].astype(int).tolist()
     index = Index(rows["text"].tolist(), marks, tuple(shares.get(y, 0) / max(1, marks.count(y)) for y in (0, 1)))
     index.blank = _blank(index, shares, rows)

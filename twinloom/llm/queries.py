@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinloom.llm import chat, langid, media, mixing, packing, suffixes, tokenids, toxicity
+from twinloom.llm import chat, jaccard, langid, media, mixing, packing, suffixes, tokenids, toxicity
 from twinloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.encode_media(table(spark, sf_dir, "documents")), arrays=False)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_media": op4_media,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_chat": op7_chat,
     "op8_token_ids": op8_token_ids,

@@ -60,9 +60,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tag_scratch(spark: SparkSession, tag: str) -> None:
-    """From now on written() files its tables under tag; what tag had before is deleted."""
-    for path in _SCRATCH.pop(tag, []):
+def tag_scratch(spark: SparkSession, tag: str, drop: bool = False) -> None:
+    """From now on written() files its tables under tag; with drop, all that tag's tables so far are deleted first."""
+    for path in _SCRATCH.pop(tag, []) if drop else []:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     _TAG[0] = tag

@@ -84,10 +84,11 @@ def shingles(texts: pa.Array, n: int = N) -> Iterator[tuple[int, int, np.ndarray
         row = last
 
 
-def _run(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each word of the texts data[bounds[i]:bounds[i + 1]]; blank: which bytes are no part of words."""
     size = len(data)
     solid = np.zeros(size + 2, bool)
-    solid[1:-1] = ~_BLANK[data]
+    solid[1:-1] = ~blank[data]
     # a word starts at a solid byte after a blank one or at a text's start, and ends likewise
     cut = np.zeros(size + 1, bool)
     cut[bounds] = True
@@ -98,7 +99,13 @@ def _run(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     total = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_ROOT, size)[:size], out=total[1:])
     word = _mixed((total[stops] - total[starts]) * _powers(pow(_ROOT, -1, 1 << 64), size + 1)[starts] + (stops - starts).astype(np.uint64))
-    row = np.searchsorted(bounds, starts, side="right") - 1
+    return np.searchsorted(bounds, starts, side="right") - 1, word
+
+
+def _run(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    row, word = words(data, bounds)
+    if not len(row):
+        return row, word
     head = len(word) - n + 1
     if head > 0:
         value = np.zeros(head, np.uint64)

@@ -121,3 +121,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
     out = plain.select(*columns).unionByName(chosen.select(*columns)).unionByName(none.select(*columns))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """docs as the mix takes them: a row for each time a document is taken, none for those that it leaves out.
+
+    Copies are matched by id; rows of one id are all taken as often as the one
+    of them that is taken most.
+    """
+    found = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
+    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

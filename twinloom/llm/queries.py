@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinloom.llm import chat, jaccard, langid, media, mixing, packing, suffixes, tokenids, toxicity
+from twinloom.llm import chat, jaccard, langid, media, mixing, packing, search, suffixes, tokenids, toxicity
 from twinloom.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each one whose id is divisible by 20."""
+    return search.top_k(table(spark, sf_dir, "documents"), F.pmod("doc_id", F.lit(20)) == 0).withColumn("score", F.round("score", 4))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.encode_media(table(spark, sf_dir, "documents")), arrays=False)
 
@@ -50,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_topk_search": op3_topk_search,
     "op4_media": op4_media,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
@@ -63,7 +70,23 @@ _ESCAPED = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '\"', '\
 _TEXT = "coalesce('\"' || " + _ESCAPED.format("text") + " || '\"', 'null')"
 _QUOTED_ARGUMENTS = "'{\"prompt\":' || " + _TEXT + " || ',\"turn\":' || turn || '}'"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk_search": rf"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')) AS t FROM documents
+), e AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS n FROM e GROUP BY ALL),
+g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM w) / (SELECT count(*) FROM documents) AS mean),
+f AS (SELECT t, ln(1 + (g.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM e, g GROUP BY t, g.n),
+s AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(f.idf * q.tf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * l.n / g.mean))), 6) AS score
+  FROM e q JOIN e d USING (t) JOIN f USING (t) JOIN l ON l.doc_id = d.doc_id, g
+  WHERE q.doc_id % 20 = 0 GROUP BY ALL
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10
+""",
     "op7_chat": f"""
 WITH items AS (
   SELECT conv_id, turn, 0 AS k, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,

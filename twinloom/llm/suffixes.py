@@ -416,12 +416,11 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     both = _with_spans(docs, F.col("text"), "doc_id", "text", length)
 
     def cut(batch: pa.RecordBatch) -> dict:
-        names = batch.schema.names
-        out = {n: batch.column(i) for i, n in enumerate(names)}
+        out = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         out["text"] = [cut_text(t, s) for t, s in zip(out["text"].to_pylist(), out["_spans"].to_pylist(), strict=True)]
+        out["_cut"] = out.pop("_spans").is_valid()
         return out
 
-    touched = both.where(F.col("_spans").isNotNull())
-    done = map_batches(touched, cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema)).drop("_spans")
-    done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).where(F.length(F.trim("text")) > 0)
-    return both.where(F.col("_spans").isNull()).drop("_spans").unionByName(done)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    done = map_batches(both.select(*docs.columns, "_spans"), cut, f"{schema}, _cut boolean").where(~F.col("_cut") | (F.length(F.trim("text")) > 0))
+    return done.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)

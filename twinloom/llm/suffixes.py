@@ -36,7 +36,6 @@ empty table. Only the named columns are looked at.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -45,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, ship, written
+from twinloom.llm.common import in_arrow, map_batches, written
 
 LENGTH = 100
 GRAM = 32
@@ -306,13 +305,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def find_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, mark (crc32 of the text), spans (array of start << 32 | end, possibly overlapping) of documents that lose bytes."""
-    ship(docs.sparkSession)
     rows = _prepared(docs, id_col, text_col).where(F.octet_length("text") >= length)
     found = map_batches(rows, lambda batch: _rows(batch, length), "key long, content long, doc long, mark long, at long")
     found = found.repartition("key").sortWithinPartitions("key", "content", "doc", "mark", "at")
-    settled = written(found.mapInArrow(lambda it: _settled(it, length), "key long, doc long, mark long, start long, end long, at long"), "settled")
-    del found
-    release(docs)
+    settled = written(in_arrow(found, lambda it: _settled(it, length), "key long, doc long, mark long, start long, end long, at long"), "settled")
     spans = settled.where("start >= 0").select("doc", "mark", "start", "end")
     first = settled.where("start < 0").select("key", "doc", "mark", "at")
     crowds = first.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("key", F.lit(True).alias("crowded"))
@@ -340,9 +336,8 @@ def find_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: st
 
     texts = _prepared(docs, id_col, text_col).where(F.octet_length("text") >= length)
     looked = written(map_batches(texts.join(listed, ["doc", "mark"]).select("doc", "mark", "text", "list"), contents, "key long, doc long, mark long, at long, content binary, crowded boolean"), "contents")
-    release(docs)
     sorted_ = looked.where("not crowded").select("key", "doc", "mark", "at", "content").repartition("key").sortWithinPartitions("key")
-    spans = spans.unionByName(sorted_.mapInArrow(lambda it: _sorted_buckets(it, length), "doc long, mark long, start long, end long"))
+    spans = spans.unionByName(in_arrow(sorted_, lambda it: _sorted_buckets(it, length), "doc long, mark long, start long, end long"))
     many = looked.where("crowded").select("content", "doc", "mark", F.shiftright("at", 16).alias("start"))
     firsts = many.groupBy("content").agg(F.min(F.struct("doc", "mark", "start")).alias("f"))
     late = many.join(firsts, "content").where(F.struct("doc", "mark", "start") > F.col("f"))
@@ -350,12 +345,6 @@ def find_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: st
     return spans.groupBy("doc", "mark").agg(F.collect_list(F.shiftleft("start", 32) + F.col("end")).alias("spans"))
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def runs(spans: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs of a document's spans, in order."""
     if not spans:

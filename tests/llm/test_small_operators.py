@@ -203,8 +203,8 @@ def test_addresses():
 
 def test_documents_without_letters_go(spark):
     rows, _ = labelled(spark)
-    docs = spark.createDataFrame([*rows, (500, "123 456 !!", "en", "src0", 1), (501, "", "en", None, 0), (502, None, None, None, None)], DOCUMENTS)
+    docs = spark.createDataFrame([*rows, (500, "123 456 !!", "en", "src0", 1), (501, "", "en", None, 0), (502, None, None, None, None), (503, " ".join([TEXTS["de"]] * 3), "en", "src0", 1), (504, "zq wx vv " * 50, "en", "src0", 1)], DOCUMENTS)
     kept = langid.keep_identified(docs)
-    assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {x[0] for x in rows}
+    assert kept.columns == docs.columns and {x["doc_id"] for x in kept.collect()} == {x[0] for x in rows} | {504}  # 503 is of another language than it says, 504 of none
     found = {x["doc_id"]: x["lang"] for x in langid.identify_documents(docs).collect()}
     assert all(found[x[0]] == x[2] for x in rows)

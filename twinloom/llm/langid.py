@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, unit, written
+from twinloom.llm.common import map_batches, ship, unit, written
 
 TRAIN_DOCS = 4000
 BITS = 16
 EFFECTIVE = 60.0
 HOST_WEIGHT, DOMAIN_WEIGHT, TABLE_WEIGHT = 8.0, 8.0, 4.0
 SURE = 0.5
+#: When a document's text contradicts its declaration; typical texts have a mean of about -6, foreign ones below -11.
+LONG, FITS, MARGIN = 100, -8.0, 2.0
 
 _TAGS = re.compile(r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<[^>]*>|&[a-zA-Z#0-9]+;")
 _LANG = re.compile(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)")
@@ -59,6 +61,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages in order, log-likelihoods [language, trigram]) from at most limit labelled rows of docs."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # about twice the sample passes the hash filter, so that no task gathers more than that
     share = min(1.0, 2.0 * limit / max(1, docs.count()))
@@ -137,7 +140,7 @@ def _sums(rows: DataFrame, key: list[str], size: int) -> DataFrame:
 
 
 def fuse(feats: DataFrame, langs: Sequence[str]) -> DataFrame:
-    """id, n, lang, confidence and posterior (array, in the order of langs) of each row of features()."""
+    """id, n, lang, confidence, posterior (array, in the order of langs), declared and text of each row of features()."""
     size = len(langs)
     feats = feats.withColumn("p", _normal(F.col("text")))
     total = feats.agg(F.array(*[F.sum(F.col("p")[i]) for i in range(size)])).first()[0]
@@ -158,9 +161,9 @@ def fuse(feats: DataFrame, langs: Sequence[str]) -> DataFrame:
     )
     both = feats.join(hosts, ["domain", "host"], "left").join(likely("said", "declared"), "declared", "left").join(likely("placed", "address"), "address", "left")
     logs = F.arrays_zip(F.col("text").alias("t"), F.transform(F.coalesce(F.col("h"), prior), lambda x: F.log(x)).alias("h"), F.when(F.col("declared") == "", zero).otherwise(F.coalesce(F.col("said"), zero)).alias("s"), F.when(F.col("address") == "", zero).otherwise(F.coalesce(F.col("placed"), zero)).alias("a"))
-    out = both.select("id", "n", _normal(F.transform(logs, lambda x: x["t"] + x["h"] + x["s"] + x["a"])).alias("posterior"))
+    out = both.select("id", "n", "declared", "text", _normal(F.transform(logs, lambda x: x["t"] + x["h"] + x["s"] + x["a"])).alias("posterior"))
     best = F.array_max("posterior")
-    return out.select("id", "n", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posterior", best).cast("int")).alias("lang"), F.round(best, 6).alias("confidence"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"))
+    return out.select("id", "n", F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("posterior", best).cast("int")).alias("lang"), F.round(best, 6).alias("confidence"), F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), "declared", "text")
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -171,18 +174,31 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n, lang, confidence, posterior of every document; its source is its host, its lang column the declaration."""
-    model = fit_text(docs)
-    feats = written(features(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host_or_url"), F.col("lang").alias("declared")), model, False), "langid")
-    return fuse(feats, model[0]).withColumnRenamed("id", "doc_id")
+    """doc_id, n, lang, confidence, posterior and rejected of every document; its source is its host, its lang column the declaration.
+
+    Rejected are documents without letters, those without a posterior of SURE,
+    and those that declare a language of the model but are of another: at
+    least LONG trigrams whose mean log-likelihood is FITS or more in the
+    language found (texts of no known language have far less) and MARGIN more
+    than in the declared one.
+    """
+    langs, logs = fit_text(docs)
+    feats = written(features(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("host_or_url"), F.col("lang").alias("declared")), (langs, logs), False), "langid")
+    out = fuse(feats, langs)
+    names = F.array(*[F.lit(x) for x in langs]) if langs else F.array(F.lit(""))
+    mean = lambda lang: F.try_element_at(F.col("text"), F.array_position(names, lang).cast("int")) / EFFECTIVE
+    other = F.array_contains(names, F.col("declared")) & (F.col("declared") != F.col("lang"))
+    wrong = F.when(other & (F.col("n") >= LONG), (mean(F.col("lang")) >= FITS) & (mean(F.col("lang")) - mean(F.col("declared")) >= MARGIN)).otherwise(F.lit(False))
+    rejected = (F.col("n") == 0) | (F.col("confidence") < SURE) | wrong
+    return out.select(F.col("id").alias("doc_id"), "n", "lang", "confidence", "posterior", F.coalesce(rejected, F.lit(True)).alias("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those whose language can't be told: no letters at all, or no posterior of SURE.
+    """docs without those that identify_documents() rejects.
 
     One pass over the texts scores them; they are matched again by id, so
     rows of the same id share the fate of the best of them. Null ids match
     each other.
     """
-    found = identify_documents(docs).where((F.col("n") > 0) & (F.col("confidence") >= SURE)).select(F.col("doc_id").alias("_id")).distinct()
+    found = identify_documents(docs).where("not rejected").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")

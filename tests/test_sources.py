@@ -3,10 +3,13 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from twinloom.operators import checks
 from twinloom.plans import bind, measure, parse_temporal
-from twinloom.sources import generate, pack
+from twinloom.api import Agent
+from twinloom.sources import generate, pack, payloads
+from twinloom.sources.store import Store
 
 
 def test_closed_form_of_the_generator():
@@ -50,3 +53,18 @@ def test_pack(spark, tmp_path):
     assert [(r["name"], r["ts"]) for r in twin.events.orderBy("ts").collect()] == [("begin", 1005), ("high", 5260), ("high_clear", 5750)]
     on = twin.points.join(twin.series.where("name = 'S1.on'"), "sid").agg(F.collect_set("v")).first()[0]
     assert sorted(on) == [0.0, 1.0] and twin.relations.first()["valid_from"] == 1000
+    found = pack.verify(twin, PACK, {"calm": {("EM", "current"): "OK"}, "jam": {("EM", "current"): "VIOLATION"}}, 1200)
+    assert all(ok for _, ok, _ in found) and len(found) == 9
+    assert [what for what, ok, _ in pack.verify(twin, PACK, {"calm": {("EM", "current"): "VIOLATION"}}, 1200) if not ok] == ["calm: EM.current is VIOLATION"]
+
+
+def test_payloads(spark, tmp_path):
+    assert payloads.ingest_call([5, 1.5], "e", "s") == ("e", "s", [(5, 1.5)])
+    assert payloads.ingest_call({"entity": "a", "signal": "b", "points": [[1, 2], [3, 4]]}, "e", "s") == ("a", "b", [(1, 2.0), (3, 4.0)])
+    for bad in ([5, "x"], {"entity": "a", "signal": "b", "points": []}, [1, 2, 3], None):
+        with pytest.raises(ValueError):
+            payloads.ingest_call(bad, "e", "s")
+    agent = Agent(Store(spark, str(tmp_path)), role="ingest")
+    result = payloads.gateway_reading(agent, [32, 30], "EM", "current", 1000)
+    assert (result["status"], result["observed"], result["expected_max"]) == ("VIOLATION", 3.2, 3.0) and payloads.violations(result) == [result]
+    assert payloads.violations(payloads.gateway_reading(agent, [28, 30], "EM", "current", 9000)) == []

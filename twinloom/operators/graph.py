@@ -54,21 +54,22 @@ def trace(twin: Twin, source: DataFrame, target: DataFrame, hops: int = 6) -> Da
     earliest, compared from the start: the order of a queue that takes
     relations by idx. Level by level, each new entity keeps the least path.
     """
-    goal = target.select(F.col("key").alias("_goal"))
+    goals = [r["key"] for r in target.select("key").limit(1).collect()]
+    found = twin.spark.createDataFrame([], "path array<bigint>")
+    if not goals:
+        return found
     links = twin.live().select(F.col("src").alias("_from"), F.col("dst").alias("key"), "idx")
     seen = frontier = written(source.select("key", F.expr("cast(array() as array<bigint>)").alias("path")), "trace")
     for level in range(hops + 1):
-        hit = frontier.join(goal, F.col("key") == F.col("_goal")).select("path")
-        if not hit.isEmpty():
-            return hit
-        if level == hops:
+        size, path = frontier.agg(F.count(F.lit(1)), F.min(F.when(F.col("key") == goals[0], F.col("path")))).first()
+        if path is not None:
+            return twin.spark.createDataFrame([(path,)], found.schema)
+        if not size or level == hops:
             break
         step = frontier.select(F.col("key").alias("_from"), "path").join(links, "_from").select("key", F.concat("path", F.array("idx")).alias("path"))
         frontier = written(step.groupBy("key").agg(F.min("path").alias("path")).join(seen.select("key"), "key", "left_anti"), "trace")
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier)
-    return frontier.select("path").limit(0)
+    return found
 
 
 def steps(twin: Twin, path: DataFrame) -> DataFrame:

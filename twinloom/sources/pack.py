@@ -82,3 +82,40 @@ def build(spark: SparkSession, pack: dict) -> Twin:
             found = alarms(raw.where(F.col("scenario") == i).select("sid", "batch_id", "seq", "t", "v"), watch)
             events = events.unionByName(found.select((F.lit(1_000_000 * (i + 1)) + F.monotonically_increasing_id()).alias("seq"), "name", "entity", "ts", F.lit(EVENT).alias("provenance"), "details"))
     return Twin.of(spark, entities=entities, relations=relations, series=series, points=raw.select("sid", "batch_id", "seq", "t", "v"), states=[(i, *s) for i, s in enumerate(states)], events=events)
+
+
+def verify(twin: Twin, pack: dict, verdicts: dict[str, dict[tuple[str, str], str]] | None = None, seconds: int = 3600) -> list[tuple[str, bool, str]]:
+    """Reads a loaded pack back: (what, whether it holds, what was found) for each part.
+
+    The schema holds the pack's types, topologies and series; every relation
+    is found by a pattern of its ends; every scenario has its points in its
+    window. verdicts: the planned status by scenario and (entity, signal).
+    """
+    from twinloom.operators import checks, graph, series
+    from twinloom.plans import bind, parse
+
+    out: list[tuple[str, bool, str]] = []
+
+    def note(what: str, need: set, have: set) -> None:
+        out.append((what, need <= have, f"missing {sorted(need - have)}" if need - have else f"{len(need)} found"))
+
+    note("types", {e["type"] for e in pack["entities"]}, {r[0] for r in graph.entity_types(twin).collect()})
+    note("topologies", {r["type"].partition(":")[0] for r in pack["relations"]}, {r[0] for r in graph.topologies(twin).collect()})
+    note("series", {n for s in pack["demo_scenarios"] for n in s["signals"]}, {r["name"] for r in twin.series.collect()})
+    kinds = {e["name"]: e["type"] for e in pack["entities"]}
+    patterns: dict[tuple[str, str, str], int] = {}
+    for r in pack["relations"]:
+        key = (kinds[r["from"]], r["type"].partition(":")[0], kinds[r["to"]])
+        patterns[key] = patterns.get(key, 0) + 1
+    for (a, topology, b), n in patterns.items():
+        found = bind(twin, parse(f"MATCH (a:{a})-[:{topology}]->(b:{b}) RETURN a")).df.count()
+        out.append((f"{a} -{topology}-> {b}", found == n, f"{found} of {n}"))
+    for scenario in pack["demo_scenarios"]:
+        lo = scenario["ts_start"]
+        counts = {r["name"]: r["count"] for r in series.statistics(twin, lo, lo + seconds).collect()}
+        for name in scenario["signals"]:
+            out.append((f"{scenario['name']}: {name}", counts.get(name) == scenario["points_per_series"], f"{counts.get(name)} points"))
+        for (entity, signal), planned in (verdicts or {}).get(scenario["name"], {}).items():
+            r = checks.checked(twin, twin.entities.where(F.col("name") == entity), signal, lo, lo + seconds).first()
+            out.append((f"{scenario['name']}: {entity}.{signal} is {planned}", r is not None and r["status"] == planned, f"{r['status'] if r else None}, observed {r['observed'] if r else None}"))
+    return out

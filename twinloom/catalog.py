@@ -213,7 +213,7 @@ def alarm_crossings(t: Twin) -> DataFrame:
 @query(f"WITH o AS (SELECT *, v > 150 AS over, row_number() OVER w AS n, lag(v > 150) OVER w AS before FROM ({POINTS}) WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY name ORDER BY t, event_id)) SELECT CASE WHEN over THEN 'high' ELSE 'high_clear' END AS name, c_name AS entity, t AS ts, CASE WHEN over THEN 'v>150.0' ELSE 'v<=150.0' END AS details FROM o WHERE n >= 2 AND over <> (CASE WHEN n = 2 THEN false ELSE before END)")
 def alarm_events(t: Twin) -> DataFrame:
     rules = t.series.where("signal = 'purchase'").select(F.col("name").alias("series"), "entity", F.lit("high").alias("name"), F.lit(150.0).alias("threshold"), F.lit("v>{thr}").alias("detail"), F.lit("v<={thr}").alias("detail_clear"))
-    return series.alarms(t.points.drop("ts"), rules)
+    return series.alarms(t.points.drop("ts", "event_type"), rules)
 
 
 @query(f"SELECT name AS series, coalesce(bool_and(v IN (0, 1)), false) AS discrete FROM ({POINTS}) GROUP BY name")

@@ -56,6 +56,11 @@ class Twin:
         """Points with lo <= t <= hi; the filter reaches the scan where t is a column of it."""
         return self.points.where(F.col("t").between(lo, hi))
 
+    def signal_points(self, signal: str, lo: int, hi: int) -> DataFrame:
+        """points_in() of the series whose names end in a dot and the signal; series are few beside points, so only theirs are aggregated."""
+        own = self.series.where(F.endswith("name", F.lit(f".{signal}"))).select("sid")
+        return self.points_in(lo, hi).join(own, "sid", "left_semi")
+
     def live(self) -> DataFrame:
         """Relations that have not been removed, whatever their validity."""
         return self.relations.where(~F.col("dead"))

@@ -16,7 +16,7 @@ def checked(twin: Twin, entities: DataFrame, signal: str, lo: int, hi: int) -> D
     VIOLATION (observed above the bound) and OK. One pass over the window's
     points yields maxima and counts of all series.
     """
-    points = twin.points_in(lo, hi).groupBy("sid").agg(fn.aggregate("max", F.col("v")).alias("observed"), F.count(F.lit(1)).alias("_n"))
+    points = twin.signal_points(signal, lo, hi).groupBy("sid").agg(fn.aggregate("max", F.col("v")).alias("observed"), F.count(F.lit(1)).alias("_n"))
     rows = entities.select("key", F.col("name").alias("entity"), F.lit(signal).alias("signal"), fn.strict_double(fn.prop(F.col("props"), f"spec.{signal}.max")).alias("expected_max"), fn.prop(F.col("props"), f"spec.{signal}.unit").alias("unit"), fn.series_id(fn.series_name(F.col("name"), signal)).alias("_sid"))
     out = rows.join(points, F.col("_sid") == F.col("sid"), "left")
     status = F.when(F.col("expected_max").isNull(), "NO_SPEC").when(F.col("observed").isNull(), "NO_DATA").when(F.col("observed") > F.col("expected_max"), "VIOLATION").otherwise("OK")

@@ -97,7 +97,7 @@ def measure(twin: Twin, bound: Bound) -> DataFrame:
         return bound.df.withColumn("has_series", F.lit(False))
     sid = fn.series_id(fn.series_name(node["name"], m.signal))
     series = twin.series.where(F.endswith("name", F.lit(f".{m.signal}"))).select(F.col("sid").alias("_series")).distinct()
-    points = twin.points_in(m.window.lo, m.window.hi).groupBy("sid").agg(*[fn.aggregate(k, F.col("v")).alias(k) for k in kinds] or [F.count(F.lit(1)).alias("_n")])
+    points = twin.signal_points(m.signal, m.window.lo, m.window.hi).groupBy("sid").agg(*[fn.aggregate(k, F.col("v")).alias(k) for k in kinds] or [F.count(F.lit(1)).alias("_n")])
     df = bound.df.withColumn("_sid", sid).join(series, F.col("_sid") == F.col("_series"), "left").join(points, F.col("_series") == F.col("sid"), "left")
     has = F.col("_series").isNotNull()
     for k in kinds:

@@ -45,17 +45,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost nothing."""
+def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost nothing.
+
+    most: a bound on its rows, where one is known; a small table then gets few files.
+    """
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // ROWS_A_FILE)))
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/twinloom/{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(_TAG[0], []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that share a file.
+ROWS_A_FILE = 20_000
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of frames that nothing refers to any more; they would stay until the driver's next collection."""
     gc.collect()
@@ -120,7 +129,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
 
 #: Rows that a Python worker is handed at once, unless the session sets another number than Spark's default.
-BATCH_ROWS = 2500
+BATCH_ROWS = 1500
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

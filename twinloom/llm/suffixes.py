@@ -48,7 +48,7 @@ from twinloom.llm.common import in_arrow, map_batches, written
 
 LENGTH = 100
 GRAM = 32
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 HOT = 50_000
 _RUN = 40_000
 _NULL = -(1 << 63)

@@ -22,6 +22,8 @@ looked at.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,6 @@ from twinloom.llm.common import written
 #: Schema of the tool that a conversation's turns are read as a call of: argument -> (JSON type, required).
 REPLY = {"prompt": ("string", True), "turn": ("integer", True)}
 BLOCK = 1024
-MAX_DEPTH = 64
 
 
 def quoted(text: Column) -> Column:
@@ -72,15 +73,15 @@ def validity(arguments: Column, schema: dict[str, tuple[str, bool]]) -> Column:
 def depths(calls: DataFrame, depends: DataFrame) -> DataFrame:
     """conv_id, call_id, depth of calls: 0 without dependencies, else one more than the deepest; -1 in or below a cycle.
 
-    depends: conv_id, call_id, on_id. Peels one layer a round, at most
-    MAX_DEPTH rounds (beyond that counts as a cycle); a round shuffles the
-    calls that are still open. Dependencies on unknown calls are ignored.
+    depends: conv_id, call_id, on_id. Peels one layer a round until none comes
+    off; a round shuffles the calls that are still open. Dependencies on
+    unknown calls are ignored.
     """
     keys = calls.select("conv_id", "call_id").where("conv_id is not null and call_id is not null").distinct()
     known = keys.withColumnRenamed("call_id", "on_id")
     edges = written(depends.select("conv_id", "call_id", "on_id").distinct().join(known, ["conv_id", "on_id"], "left_semi"), "edges")
     open_, done = written(keys, "open"), None
-    for depth in range(MAX_DEPTH):
+    for depth in itertools.count():
         waits = edges.join(open_.withColumnRenamed("call_id", "on_id"), ["conv_id", "on_id"], "left_semi").select("conv_id", "call_id").distinct()
         layer = written(open_.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)), "layer")
         if layer.isEmpty():

@@ -30,11 +30,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b): root is the smallest node that can be reached. Roots map to themselves."""
-    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "links")
+    size = links.count()
+    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "links", size)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
     last = None
     while (now := mark(edges)) != last:
         last = now
-        edges = written(_star(written(_star(edges, True), "large"), False), "small")
+        edges = written(_star(written(_star(edges, True), "large", 2 * size), False), "small", 2 * size)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

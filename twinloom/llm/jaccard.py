@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, ship, written
+from twinloom.llm.common import in_arrow, map_batches, written
 from twinloom.llm.components import components
 
 N, SIMILAR = 3, (90, 100)
-SKETCH = 1 << 22
+SKETCH = 1 << 24
 _CHUNK = 1 << 16
 FRAGMENTS = 4
-_AT_ONCE = 1 << 21
+_AT_ONCE = 1 << 19
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
@@ -136,35 +136,48 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: below 64 as they are, above on a scale of sixteenths of an octave, up to 255."""
+    high = 64 + 16 * np.log2(np.maximum(counts, 64) / 64)
+    return np.minimum(np.where(counts < 64, counts, high), 255).astype(np.uint8)
+
+
 def sketch(docs: DataFrame, n: int, size: int = SKETCH) -> np.ndarray:
-    """For each counter, the number of (document, shingle) pairs that fall to it, over all documents."""
+    """For each counter, the level of the number of (document, shingle) pairs that fall to it, over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, _, _, found in shingles(batch.column(0), n):
-                total += np.bincount((found >> np.uint64(40)).astype(np.int64) % size, minlength=size).astype(np.uint32)
+                np.add.at(total, _counter(found, size), 1)
         for i in range(0, size, _CHUNK):
-            if total[i : i + _CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([zlib.compress(total[i : i + _CHUNK].tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+            part = total[i : i + _CHUNK]
+            if part.any():
+                kind = np.uint8 if part.max() < 256 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.dtype(kind).itemsize], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())], ["chunk", "bytes", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_CHUNK, np.int64)
-        for c in rows["counts"]:
-            part = np.frombuffer(zlib.decompress(c), np.uint32)
+        for width, c in zip(rows["bytes"], rows["counts"], strict=True):
+            part = np.frombuffer(zlib.decompress(c), np.uint8 if width == 1 else np.uint32)
             total[: len(part)] += part
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [zlib.compress(levels(total).tobytes(), 1)]})
 
-    parts = docs.select("text").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect()
-    out = np.zeros(-(-size // _CHUNK) * _CHUNK, np.uint32)
+    parts = in_arrow(docs.select("text"), count, "chunk long, bytes int, counts binary").groupBy("chunk").applyInPandas(add, "chunk long, levels binary").collect()
+    out = np.zeros(-(-size // _CHUNK) * _CHUNK, np.uint8)
     for r in parts:
-        out[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+        out[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out[:size]
 
 
+def _counter(found: np.ndarray, size: int) -> np.ndarray:
+    return (found >> np.uint64(40)).astype(np.int64) % size
+
+
 def pivots(counts: np.ndarray, fragments: int) -> np.ndarray:
-    """Counts at which the global order is cut so that fragments hold about equally many shingles."""
-    values, mass = np.unique(counts, return_counts=True)
-    load = np.cumsum(values.astype(np.float64) * mass)
+    """Levels at which the global order is cut so that fragments hold about equally many shingles."""
+    mass = np.bincount(counts, minlength=256)
+    values = np.arange(256)
+    load = np.cumsum(np.where(values < 64, values, 64 * 2.0 ** ((values - 64) / 16)) * mass)
     if not len(load) or load[-1] == 0:
         return np.zeros(0, np.int64)
     return np.unique(values[np.searchsorted(load, load[-1] * np.arange(1, fragments) / fragments)]).astype(np.int64)
@@ -193,7 +206,7 @@ def classes(docs: DataFrame, counts, n: int, similar: tuple[int, int]) -> DataFr
                 continue
             here, at, num, names = _sets(rows, found)
             sizes[here], sids[here] = num, names
-            often = load[(found >> np.uint64(40)).astype(np.int64) % len(load)]
+            often = load[_counter(found, len(load))]
             order = np.lexsort((found, often, rows))
             place = np.arange(len(rows)) - np.repeat(at, num)
             short = prefix_length(num, similar)
@@ -207,40 +220,49 @@ def classes(docs: DataFrame, counts, n: int, similar: tuple[int, int]) -> DataFr
     return written(map_batches(docs, one, f"doc {kind}, n_shingles long, sid long, prefix array<long>"), "classes")
 
 
-def fragments(texts: DataFrame, counts, cuts: np.ndarray, n: int) -> DataFrame:
-    """sid, fragment and its shingles, of texts (sid, text); a text of another set than sid's has none."""
+def fragments(texts: DataFrame, wanted: DataFrame, counts, cuts: np.ndarray, n: int) -> DataFrame:
+    """node, fragment and its shingles, of the classes in wanted (node, sid, rep): their representatives are cut up again."""
+    chosen = texts.join(sized(wanted), texts["doc"].eqNullSafe(wanted["rep"])).select("node", "sid", "text")
+
     def one(batch: pa.RecordBatch) -> dict:
-        sid = batch.column(0).to_numpy()
-        out: dict = {"sid": [], "fragment": [], "shingles": []}
+        node, sid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        out: dict = {"node": [], "fragment": [], "shingles": []}
         load = counts.value
-        for _, _, rows, found in shingles(batch.column(1), n):
+        for _, _, rows, found in shingles(batch.column(2), n):
             if not len(rows):
                 continue
             here, _, _, names = _sets(rows, found)
-            true = np.isin(rows, here[names == sid[here]])
+            true = np.isin(rows, here[names == sid[here]])  # an id may come with other texts too
             rows, found = rows[true], found[true]
-            where = np.searchsorted(cuts, load[(found >> np.uint64(40)).astype(np.int64) % len(load)])
+            where = np.searchsorted(cuts, load[_counter(found, len(load))])
             key = rows * (len(cuts) + 1) + where
             order = np.argsort(key, kind="stable")
             values, at = np.unique(key[order], return_index=True)
             for v, part in zip(values.tolist(), np.split(found[order].view(np.int64), at[1:]) if len(at) else [], strict=True):
-                out["sid"].append(sid[v // (len(cuts) + 1)])
+                out["node"].append(node[v // (len(cuts) + 1)])
                 out["fragment"].append(v % (len(cuts) + 1))
                 out["shingles"].append(part)
         return out
 
-    parts = written(map_batches(texts, one, "sid long, fragment int, shingles array<long>"), "fragments")
-    if parts.groupBy("sid", "fragment").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+    parts = written(map_batches(chosen, one, "node long, fragment int, shingles array<long>"), "fragments")
+    if parts.groupBy("node", "fragment").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
         return parts
-    return written(parts.dropDuplicates(["sid", "fragment"]), "fragments")  # rows that come twice
+    return written(parts.dropDuplicates(["node", "fragment"]), "fragments")  # rows that come twice
+
+
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table, marked for broadcast if it has few enough rows (of some 24 bytes each); else it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def links(pairs: DataFrame, parts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, na, b, nb) whose overlaps, counted in each fragment and summed, make them similar."""
     num, den = similar
-    left = parts.select(F.col("sid").alias("a"), "fragment", F.col("shingles").alias("x"))
-    right = parts.select(F.col("sid").alias("b"), "fragment", F.col("shingles").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "na", "b", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("o"))
+    # the second sets of pairs go to the first ones, of which there are fewer: one shuffle of either
+    second = parts.withColumnRenamed("shingles", "y").join(sized(pairs), F.col("node") == F.col("b")).drop("node")
+    heads = written(pairs.select(F.col("a").alias("_a")).distinct(), "heads", pairs.count())
+    first = parts.join(sized(heads), F.col("node") == F.col("_a")).select("_a", F.col("fragment").alias("_f"), F.col("shingles").alias("x"))
+    partial = second.join(first.hint("merge"), (F.col("a") == F.col("_a")) & (F.col("fragment") == F.col("_f"))).select("a", "na", "b", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("o"))
     total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("o").alias("o"))
     return total.where(F.lit(den) * F.col("o") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b", "o")
 
@@ -250,48 +272,54 @@ def possible(similar: tuple[int, int]):
     num, den = similar
     need = F.ceil(F.lit(num) * (F.col("na") + F.col("nb")) / F.lit(num + den))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.floor((F.col("na") + F.col("nb") - F.col("pa") - F.col("pb")) / 2))
+    room = F.least(room, F.when(F.col("na") == F.col("nb"), F.col("na") - 1).otherwise(F.least("na", "nb")))  # they are different sets
     return (F.lit(num) * F.greatest("na", "nb") <= F.lit(den) * F.least("na", "nb")) & (room >= need)
 
 
 def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and copies (documents of the same set) of every document."""
-    ship(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     load = sketch(texts, n)
     cuts = pivots(load, FRAGMENTS)
-    counts = docs.sparkSession.sparkContext.broadcast(load)  # SKETCH counters of 4 bytes
+    counts = docs.sparkSession.sparkContext.broadcast(load)  # SKETCH counters of a byte
     own = classes(texts, counts, n, similar)
-    reps = written(own.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies")), "reps")
+    # a class is a node: numbered once, when the table is written
+    reps = own.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("rep"), F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    # prefixes, one for each class and batch at most, and the shingles that two classes share
-    rows = own.where("sid is not null").select("sid", "n_shingles", F.posexplode("prefix").alias("place", "token")).groupBy("token", "sid").agg(F.min("n_shingles").alias("n"), F.min("place").alias("place"))
-    rows = written(rows, "prefixes")
-    lead = rows.groupBy("token").agg(F.min(F.struct("place", "sid", "n")).alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("token", "lead")
-    shared = written(rows.join(lead, "token"), "shared")
+    # prefixes, and the shingles that two classes share; key: place, then size, so that the least is the leader's
+    rows = reps.select("node", F.col("n"), F.posexplode("prefix").alias("place", "token")).select("token", "node", (F.shiftleft(F.col("place").cast("long"), 36) + F.col("n")).alias("key"))
+    lead = rows.groupBy("token").agg(F.min("key").alias("lead_key"), F.min_by("node", "key").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    shared = written(rows.join(lead.hint("merge"), "token"), "shared")  # the same plan at every size; adaptive execution splits a hot token's rows
+    place, size = lambda c: F.shiftright(c, 36), lambda c: F.col(c).bitwiseAND(F.lit((1 << 36) - 1))
 
     # one leader for each class: the first of those that share a shingle with it
-    named = shared.where(F.col("sid") != F.col("lead.sid")).select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("lead.sid").alias("a"), F.col("lead.n").alias("na"), F.col("lead.place").alias("pa"))
-    first = named.where(possible(similar)).groupBy("b", "nb").agg(F.min(F.struct("pa", "a", "na")).alias("l")).select(F.col("l.a").alias("a"), F.col("l.na").alias("na"), "b", "nb")
+    named = shared.where("node <> lead").select(F.col("node").alias("b"), size("key").alias("nb"), place("key").alias("pb"), F.col("lead").alias("a"), size("lead_key").alias("na"), place("lead_key").alias("pa"), "lead_key")
+    first = named.where(possible(similar)).groupBy("b", "nb").agg(F.min_by("a", "lead_key").alias("a"), F.min_by("na", "lead_key").alias("na")).select("a", "na", "b", "nb")
     first = written(first, "first")
 
-    wanted = shared.select("sid").distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc"))
-    chosen = texts.join(wanted, texts["doc"].eqNullSafe(wanted["doc"])).select("sid", "text")
-    parts = fragments(chosen, counts, cuts, n)
-    known = written(links(first, parts, similar), "first-links")
-    roots = written(components(known), "first-roots") if not known.isEmpty() else None
+    def parts_of(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        return fragments(texts, written(nodes.join(reps.select("node", "sid", "rep"), "node"), "wanted", 2 * pairs.count()), counts, cuts, n)
 
-    placed = shared.select("token", "sid", "n", "place")
-    placed = placed.withColumn("root", F.col("sid")) if roots is None else placed.join(roots, placed["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+    known = written(links(first, parts_of(first), similar), "first-links", first.count())
+    placed = shared.select("token", "node", "key")
+    if known.isEmpty():
+        placed = placed.withColumn("root", F.col("node"))
+    else:
+        roots = components(known).withColumnRenamed("node", "_node")
+        placed = placed.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
+    placed = written(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    placed = written(placed.join(mixed, "token"), "placed")
-    side = lambda s: placed.select("token", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"), F.col("root").alias(f"r{s}"))
+    placed = placed.join(mixed, "token").select("token", "node", size("key").alias("n"), place("key").alias("p"), "root")
+    side = lambda s: placed.select("token", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"), F.col("root").alias(f"r{s}"))
     cross = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible(similar)).select("a", "na", "b", "nb").distinct()
-    rest = written(links(cross, parts, similar), "rest-links")
-    edges = known.select("a", "b").unionByName(rest.select("a", "b"))
-    final = components(edges)
+    cross = written(cross, "cross")
+    rest = written(links(cross, parts_of(cross), similar), "rest-links", cross.count())
+    final = components(known.select("a", "b").unionByName(rest.select("a", "b")))
 
-    named_docs = own.select("doc", "n_shingles", "sid").join(reps.select(F.col("sid").alias("_s"), "copies"), F.col("sid") == F.col("_s"), "left").drop("_s")
-    whole = written(named_docs.join(final, named_docs["sid"] == final["node"], "left").withColumn("root", F.coalesce("root", "sid")).drop("node", "sid"), "roots")
+    named_docs = own.select("doc", "n_shingles", "sid").join(reps.select(F.col("sid").alias("_s"), "copies", "node"), F.col("sid") == F.col("_s"), "left").select("doc", "n_shingles", "copies", F.col("node").alias("_node"))
+    whole = written(named_docs.join(final, F.col("_node") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_node")).drop("node", "_node"), "roots")
     least = whole.where("root is not null").groupBy("root").agg(F.min("doc").alias("component_id"))
     out = whole.join(least.withColumnRenamed("root", "_r"), F.col("root") == F.col("_r"), "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))

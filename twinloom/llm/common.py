@@ -128,16 +128,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
     return in_arrow(df, run, schema)
 
 
-#: Rows that a Python worker is handed at once, unless the session sets another number than Spark's default.
-BATCH_ROWS = 1500
+#: Rows and bytes that a Python worker is handed at once, unless the session sets others than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose workers give their memory back at the end of a partition (Spark keeps the idle processes)."""
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", own)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

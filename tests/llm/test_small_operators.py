@@ -134,6 +134,18 @@ def test_media(spark):
     assert media.read_media(media.encode_media(docs.limit(0))).collect() == []
 
 
+def test_short_payloads_have_pairs():
+    r = random.Random(8)
+    texts = ["", *(" ".join("".join(r.choice("aehinorst.") for _ in range(r.randint(2, 9))) for _ in range(r.randint(8, 17))) for _ in range(60))]
+    prints = []
+    for t in texts:
+        assert len(media.payload(t)) == 192
+        times, codes = media.fingerprint(media.payload(t))
+        assert len(times) == len(codes) > 0
+        prints.append((times.tobytes(), codes.tobytes()))
+    assert len(set(prints)) == len(texts)
+
+
 # ---- chat ----------------------------------------------------------------------
 
 

@@ -6,7 +6,10 @@ A fingerprint is two aligned arrays: the frame of the earlier peak of a pair
 (time code) and the pair's code (band, both frequencies, frames between them).
 Short-time Fourier transforms are taken over Hann windows of ``FRAME`` samples
 every ``HOP``, a bounded number of frames at a time, so a text of any length
-needs bounded memory beside its own bytes.
+needs bounded memory beside its own bytes. A unit holds many frames, so that
+the shortest payload has pairs too. Peaks are not the bytes: a run of one
+letter, or a few bytes under the rising edge of the first window, have those
+of blanks.
 
 Defined cases: null and empty texts are one unit of bytes 32; repeated rows
 give repeated equal results; a null id stays null; an empty table gives an
@@ -28,11 +31,12 @@ from pyspark.sql import functions as F
 from twinloom.llm.common import map_batches
 
 UNIT = 192
-FRAME, HOP = 192, 96
-BANDS = ((2, 24), (24, 96))
+FRAME, HOP = 32, 8
+BANDS = ((2, 9), (9, 17))
 FAN = 3
 RATE = 8000
 _FRAMES_AT_ONCE = 8192
+_NO_PAIR = 1 << 40
 _WINDOW = np.hanning(FRAME + 1)[:-1]
 
 
@@ -81,15 +85,14 @@ def peaks(samples: bytes) -> np.ndarray:
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(time codes, pair codes): each peak paired with its band's peak 1 to FAN frames later, in time order."""
     at = peaks(samples)
-    times, codes = [], []
+    codes = np.full((len(at), FAN * len(BANDS)), _NO_PAIR, np.int64)
     for gap in range(1, FAN + 1):
         a, b = at[:-gap], at[gap:]
         for band in range(len(BANDS)):
-            times.append(np.arange(len(a)))
-            codes.append(band << 24 | a[:, band] << 16 | b[:, band] << 8 | gap)
-    t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((c, t))
-    return t[order].astype(np.int32), c[order].astype(np.int32)
+            codes[: len(a), (gap - 1) * len(BANDS) + band] = band << 24 | a[:, band] << 16 | b[:, band] << 8 | gap
+    codes.sort(axis=1)
+    real = codes < _NO_PAIR
+    return np.repeat(np.arange(len(at), dtype=np.int32), real.sum(axis=1)), codes[real].astype(np.int32)
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = RATE) -> DataFrame:

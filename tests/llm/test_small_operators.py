@@ -208,6 +208,19 @@ def test_pages(spark):
     assert langid.identify_pages(pages.limit(0), docs).collect() == []
 
 
+def test_sample_of_few_labelled_texts(spark):
+    rows, _ = labelled(spark)
+    rows = [*rows[:30], (900, "una casa con jardín", "es", "src0", 1)]
+    bare = [(1000 + i, f"nothing is said of {i}", None, "src0", 1) for i in range(3000)]
+    copies = [(5000 + i, TEXTS["en"], "en", "src0", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows + bare + copies, DOCUMENTS)
+    got = [(x["lang"], x["text"]) for x in langid.sample(docs, "text", "lang", 13).collect()]
+    assert len(got) == len(set(got)) == 13 and sorted(x for x, _ in got) == ["de"] * 4 + ["en"] * 4 + ["es"] + ["fr"] * 4
+    assert langid.fit_text(docs, limit=13)[0] == ["de", "en", "es", "fr"]
+    assert len(langid.sample(docs, "text", "lang", 1000).collect()) == len({x[1] for x in rows + copies})
+    assert langid.fit_text(docs.where("lang is null"))[0] == []
+
+
 def test_addresses():
     assert langid.address("https://u@m.x.example.org:80/de/1?q#f") == ("m.x.example.org", "example.org", "org/de")
     assert langid.address(None) == ("", "", "/") and langid.address("http://x.net") == ("x.net", "x.net", "net/")

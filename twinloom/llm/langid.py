@@ -3,9 +3,10 @@
 Four kinds of evidence meet in one posterior over the model's languages:
 
 * text: hashed byte-trigram likelihoods, fitted on at most ``TRAIN_DOCS``
-  labelled documents (a bounded sample in the order of a hash); since
-  neighbouring trigrams are far from independent, the log-likelihood is scaled
-  down to ``EFFECTIVE`` trigrams;
+  different labelled texts (a bounded sample in the order of a hash, in equal
+  shares of the languages as far as they have as many); since neighbouring
+  trigrams are far from independent, the log-likelihood is scaled down to
+  ``EFFECTIVE`` trigrams;
 * the language that the markup declares (``<html lang=...>``);
 * the address: top-level domain and a language code as first path segment;
 * the host: priors smoothed up the hierarchy host -> domain -> all pages.
@@ -59,13 +60,33 @@ def trigrams(text: str) -> np.ndarray:
     return ((solid[:-2] * np.uint32(0x9E3779B1) + solid[1:-1] * np.uint32(0x85EBCA6B) + solid[2:] * np.uint32(0xC2B2AE35)) ^ (solid[1:-1] << 7)) >> np.uint32(32 - BITS)
 
 
+def shares(found: dict[str, int], limit: int) -> dict[str, int]:
+    """How many texts of each language to take, of limit in all: equal shares, what small ones leave goes to the others; one at least."""
+    out: dict[str, int] = {}
+    for i, k in enumerate(sorted(found, key=lambda k: (found[k], k))):
+        out[k] = max(1, min(found[k], (limit - sum(out.values())) // (len(found) - i)))
+    return out
+
+
+def sample(docs: DataFrame, text_col: str, lang_col: str, limit: int) -> DataFrame:
+    """lang and text of different labelled texts, the first of each language in the order of a hash of the text."""
+    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null").withColumn("_u", unit(F.col("text")))
+    spark = docs.sparkSession
+    # about twice each share and 30 pass the filter by hash: the driver gets no more numbers than that, and no language is missed
+    about = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("_u").alias("n")).collect()}
+    some = spark.createDataFrame([(k, (2.0 * n + 30.0) / max(1, about[k])) for k, n in shares(about, limit).items()], "_lang string, _most double")
+    passed: dict[str, list[float]] = {}
+    for r in rows.join(F.broadcast(some), (F.col("lang") == F.col("_lang")) & (F.col("_u") < F.col("_most"))).select("lang", "_u").distinct().collect():
+        passed.setdefault(r["lang"], []).append(r["_u"])
+    take = shares({k: len(v) for k, v in passed.items()}, limit)
+    last = spark.createDataFrame([(k, sorted(v)[take[k] - 1]) for k, v in passed.items()], "_lang string, _last double")
+    return rows.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("_u") <= F.col("_last"))).select("lang", "text").distinct()
+
+
 def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log-likelihoods [language, trigram]) from at most limit labelled rows of docs."""
+    """(languages in order, log-likelihoods [language, trigram]) from at most limit labelled texts of docs."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # about twice the sample passes the hash filter, so that no task gathers more than that
-    share = min(1.0, 2.0 * limit / max(1, docs.count()))
-    rows = rows.where(unit(F.col("text")) < share).orderBy(unit(F.col("text")), "lang").limit(limit)
+    rows = sample(docs, text_col, lang_col, limit)
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BITS, np.int64)

@@ -72,6 +72,18 @@ def test_keep_one(spark):
     assert jaccard.join(docs.limit(0)).collect() == []
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (None, text("d")), (None, text("d")), (None, ""), (None, None), (3, text("c") + " more"), (7, text("e")), (7, text("f")), (7, text("g")), (7, text("g")), (9, text("f") + " more"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    out = jaccard.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:1], r["text"] is None) for r in out.collect())
+    assert kept == [(0, "", False), (0, "", True), (0, "a", False), (0, "b", False), (0, "d", False), (3, "c", False), (7, "e", False), (7, "f", False), (7, "g", False), (8, "", False), (8, "", False)]
+    one = jaccard.keep_one(docs.where("doc_id is null or doc_id = 3").where("text like 'c%' or text like 'a%'"))
+    assert sorted(r["text"][0] for r in one.collect()) == ["a", "c"]
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 501), (501, 500)]

@@ -326,12 +326,19 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR, id_col
 
 
 def keep_one(docs: DataFrame, n: int = 5, similar: tuple[int, int] = (80, 100)) -> DataFrame:
-    """docs with one document of each component, that of the smallest id; empty sets are components of their own."""
-    found = join(docs, n, similar)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_size"))
-    keep = written(keep, "kept")
-    out = docs.join(keep.select(F.col("doc_id").alias("_id"), "_n", "_size"), docs["doc_id"].eqNullSafe(F.col("_id")))
+    """docs with one document of each component, that of the smallest id; empty sets are components of their own.
+
+    A document is told by its id and a 64-bit hash of its text, so rows of a
+    null or repeated id with different texts are documents of their own. A
+    null id comes after all others; of one id's texts the least hash is first.
+    """
+    body = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), body.alias("body"))
+    found = join(docs.select(who.alias("doc_id"), "text"), n, similar)
+    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_size"))
+    keep = written(keep.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.body").alias("_kept"), "_n", "_size"), "kept")
+    out = docs.withColumn("_body", body).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept")))
     if keep.where("_n > 1 and _size > 0").isEmpty():
         return out.select(*docs.columns)
-    one = out.where("_n = 1 or _size = 0").unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["doc_id"]))
+    one = out.where("_n = 1 or _size = 0").unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["doc_id", "_body"]))
     return one.select(*docs.columns)

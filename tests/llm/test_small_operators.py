@@ -208,6 +208,18 @@ def test_pages(spark):
     assert langid.identify_pages(pages.limit(0), docs).collect() == []
 
 
+def test_declared_anywhere():
+    assert langid.declared("<!-- " + "x " * 5000 + '-->\n<HTML class="a"\nLang = de-AT><p>text') == "de"
+    assert langid.declared('<html><p lang="fr"></p>' + " " * 9000 + "<html data='1' lang='en'><html lang=it>") == "en"
+    assert langid.declared("") is None and langid.declared("<html " * 100_000) is None
+
+
+def test_pages_with_a_preamble(spark):
+    _, docs = labelled(spark)
+    pages = spark.createDataFrame([(i, None, f"{start}<html lang='de'><p>{TEXTS['de']}</p>") for i, start in enumerate(["", " " * 6000, f"<!--{'-' * 9000}-->"])], "page_id long, url string, html string")
+    assert len({(x["lang"], x["confidence"]) for x in langid.identify_pages(pages, docs).collect()}) == 1
+
+
 def test_sample_of_few_labelled_texts(spark):
     rows, _ = labelled(spark)
     rows = [*rows[:30], (900, "una casa con jardín", "es", "src0", 1)]

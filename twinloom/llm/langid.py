@@ -7,7 +7,7 @@ Four kinds of evidence meet in one posterior over the model's languages:
   shares of the languages as far as they have as many); since neighbouring
   trigrams are far from independent, the log-likelihood is scaled down to
   ``EFFECTIVE`` trigrams;
-* the language that the markup declares (``<html lang=...>``);
+* the language that the markup declares (``<html lang=...>``, anywhere in the page);
 * the address: top-level domain and a language code as first path segment;
 * the host: priors smoothed up the hierarchy host -> domain -> all pages.
 
@@ -44,7 +44,8 @@ SURE = 0.5
 LONG, FITS, MARGIN = 100, -8.0, 2.0
 
 _TAGS = re.compile(r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<[^>]*>|&[a-zA-Z#0-9]+;")
-_LANG = re.compile(r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)")
+_HTML = re.compile(r"(?i)<html[^>]*")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([A-Za-z]+)")
 _URL = re.compile(r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@]*@)?([^/:?#]*)[^/?#]*/?([^?#]*)")
 _KEEP = np.zeros(256, np.uint8)
 _KEEP[list(range(97, 123)) + list(range(128, 256))] = list(range(97, 123)) + list(range(128, 256))
@@ -103,6 +104,11 @@ def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", li
     return [k for k, _ in found], logs
 
 
+def declared(html: str) -> str | None:
+    """The language of the first html tag of a page that names one, wherever it stands; one pass over the page."""
+    return next((m[1] for tag in _HTML.finditer(html) if (m := _LANG.search(tag[0]))), None)
+
+
 def visible_text(html: str) -> str:
     """The words of a page: no scripts, styles, comments, navigation, tags or entities."""
     return _TAGS.sub(" ", html)
@@ -131,8 +137,7 @@ def features(rows: DataFrame, model: tuple[list[str], np.ndarray], html: bool) -
         for text, place, said in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             text = text or ""
             if html:
-                m = _LANG.search(text[:4096])
-                said = m[1] if m else None
+                said = declared(text)
                 where = address(place)
                 text = visible_text(text)
             else:

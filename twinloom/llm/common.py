@@ -53,14 +53,20 @@ def written(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     if most is not None:
         df = df.coalesce(max(1, -(-most // ROWS_A_FILE)))
     spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/twinloom/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(_TAG[0], []).append(path)
+    path = scratch(spark, name)
     df.write.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one for a table of this name, that does not exist yet; noted under the current tag."""
+    ship(spark)
+    path = f"{shared_dir(spark)}/twinloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(_TAG[0], []).append(path)
+    return path
+
+
 #: Rows of a small table that share a file.
 ROWS_A_FILE = 20_000
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import in_arrow, map_batches, written
+from twinloom.llm.common import in_arrow, map_batches, sized, written
 from twinloom.llm.components import components
 
 N, SIMILAR = 3, (90, 100)
@@ -250,11 +250,6 @@ def fragments(texts: DataFrame, wanted: DataFrame, counts, cuts: np.ndarray, n:
     return written(parts.dropDuplicates(["node", "fragment"]), "fragments")  # rows that come twice
 
 
-def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A written table, marked for broadcast if it has few enough rows (of some 24 bytes each); else it is shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def links(pairs: DataFrame, parts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, na, b, nb) whose overlaps, counted in each fragment and summed, make them similar."""
     num, den = similar

@@ -13,13 +13,18 @@ Four kinds of evidence meet in one posterior over the model's languages:
 
 The tables behind the last three are grouped sums of the text posteriors over
 all rows: P(declared | language), P(address | language) and the host priors.
-Every one is aggregated on the map side, and joined back on its key, of which
-one may hold any share of the rows (adaptive execution splits such a side).
+Every one is aggregated on the map side, written, and joined back on its key,
+of which one may hold any share of the rows: it is broadcast if a count shows
+it to be small, else both sides are plain scans, so that adaptive execution
+can split a hot key's rows.
 
 Defined cases: a row with null or empty text and no other evidence gets the
 prior of all pages; a null address has host, domain and address key ''; a
-null id stays null; repeated rows are counted each and get equal results; an
-empty table gives an empty table. Only the named columns are looked at.
+null id stays null; repeated rows are counted each and get equal results; a
+text of any length counts whole; without any labelled text there is no
+language to tell: lang and confidence are null, posteriors are empty, and only
+texts without letters are rejected; an empty table gives an empty table. Only
+the named columns are looked at.
 """
 
 from __future__ import annotations
@@ -33,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, ship, unit, written
+from twinloom.llm.common import map_batches, ship, sized, unit, written
 
 TRAIN_DOCS = 4000
 BITS = 16
 EFFECTIVE = 60.0
 HOST_WEIGHT, DOMAIN_WEIGHT, TABLE_WEIGHT = 8.0, 8.0, 4.0
 SURE = 0.5
+#: Probabilities in a table of evidence that is broadcast.
+MOST = 800_000
 #: When a document's text contradicts its declaration; typical texts have a mean of about -6, foreign ones below -11.
 LONG, FITS, MARGIN = 100, -8.0, 2.0
 
@@ -168,6 +175,9 @@ def _sums(rows: DataFrame, key: list[str], size: int) -> DataFrame:
 def fuse(feats: DataFrame, langs: Sequence[str]) -> DataFrame:
     """id, n, lang, confidence, posterior (array, in the order of langs), declared and text of each row of features()."""
     size = len(langs)
+    if not size:
+        none = F.array().cast("array<double>")
+        return feats.select("id", "n", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("posterior"), "declared", "text")
     feats = feats.withColumn("p", _normal(F.col("text")))
     total = feats.agg(F.array(*[F.sum(F.col("p")[i]) for i in range(size)])).first()[0]
     total = [float(x or 0.0) + 1.0 for x in total]
@@ -181,10 +191,11 @@ def fuse(feats: DataFrame, langs: Sequence[str]) -> DataFrame:
 
     hosts = _sums(feats, ["domain", "host"], size)
     domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(size)]).alias("d"))
-    hosts = hosts.join(domains, "domain").select("host", "domain", smoothed(F.col("s"), HOST_WEIGHT, smoothed(F.col("d"), DOMAIN_WEIGHT, prior)).alias("h"))
-    likely = lambda name, key: _sums(feats, [key], size).select(  # noqa: E731  P(value | language), smoothed by the value's share of all
+    known = lambda df, name: sized(written(df, name), MOST // size)
+    hosts = known(hosts.join(domains, "domain").select("host", "domain", smoothed(F.col("s"), HOST_WEIGHT, smoothed(F.col("d"), DOMAIN_WEIGHT, prior)).alias("h")), "hosts")
+    likely = lambda name, key: known(_sums(feats, [key], size).select(  # noqa: E731  P(value | language), smoothed by the value's share of all
         key, F.transform(F.arrays_zip(F.col("s").alias("a"), F.array(*[F.lit(x) for x in total]).alias("b")), lambda x: F.log((x["a"] + F.lit(TABLE_WEIGHT / size)) / (x["b"] + F.lit(TABLE_WEIGHT)))).alias(name)
-    )
+    ), name)
     both = feats.join(hosts, ["domain", "host"], "left").join(likely("said", "declared"), "declared", "left").join(likely("placed", "address"), "address", "left")
     logs = F.arrays_zip(F.col("text").alias("t"), F.transform(F.coalesce(F.col("h"), prior), lambda x: F.log(x)).alias("h"), F.when(F.col("declared") == "", zero).otherwise(F.coalesce(F.col("said"), zero)).alias("s"), F.when(F.col("address") == "", zero).otherwise(F.coalesce(F.col("placed"), zero)).alias("a"))
     out = both.select("id", "n", "declared", "text", _normal(F.transform(logs, lambda x: x["t"] + x["h"] + x["s"] + x["a"])).alias("posterior"))
@@ -196,7 +207,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, n_trigrams, lang, confidence, posterior and rejected (no posterior of SURE) of every page; docs: labelled texts."""
     model = fit_text(docs)
     feats = written(features(pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.col("url").alias("host_or_url"), F.lit(None).cast("string").alias("declared")), model, True), "langid")
-    return fuse(feats, model[0]).select(F.col("id").alias("page_id"), F.col("n").alias("n_trigrams"), "lang", "confidence", "posterior", (F.col("confidence") < SURE).alias("rejected"))
+    return fuse(feats, model[0]).select(F.col("id").alias("page_id"), F.col("n").alias("n_trigrams"), "lang", "confidence", "posterior", (F.coalesce(F.col("confidence") < SURE, F.col("n") == 0)).alias("rejected"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -215,8 +226,8 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     mean = lambda lang: F.try_element_at(F.col("text"), F.array_position(names, lang).cast("int")) / EFFECTIVE
     other = F.array_contains(names, F.col("declared")) & (F.col("declared") != F.col("lang"))
     wrong = F.when(other & (F.col("n") >= LONG), (mean(F.col("lang")) >= FITS) & (mean(F.col("lang")) - mean(F.col("declared")) >= MARGIN)).otherwise(F.lit(False))
-    rejected = (F.col("n") == 0) | (F.col("confidence") < SURE) | wrong
-    return out.select(F.col("id").alias("doc_id"), "n", "lang", "confidence", "posterior", F.coalesce(rejected, F.lit(True)).alias("rejected"))
+    rejected = (F.col("n") == 0) | F.coalesce(F.col("confidence") < SURE, F.lit(False)) | F.coalesce(wrong, F.lit(True))
+    return out.select(F.col("id").alias("doc_id"), "n", "lang", "confidence", "posterior", rejected.alias("rejected"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

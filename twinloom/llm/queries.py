@@ -37,8 +37,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, calls, results = chat.turns_as_calls(table(spark, sf_dir, "conversations"))
-    return chat.link(messages, calls, results, chat.REPLY)
+    turns = table(spark, sf_dir, "conversations")
+    return chat.link(*chat.turns_as_calls(turns), chat.REPLY, chat.turns_as_dependencies(turns))
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,24 +88,29 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10
 """,
     "op7_chat": f"""
-WITH items AS (
-  SELECT conv_id, turn, 0 AS k, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,
+WITH RECURSIVE calls AS (
+  SELECT DISTINCT conv_id, turn, CASE WHEN turn // 2 >= 1 THEN 2 * ((turn // 2 - 1) // 2) + turn % 2 END AS on_turn FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL
+), depths AS (
+  SELECT conv_id, turn, 0 AS depth FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls o WHERE o.conv_id = c.conv_id AND o.turn = c.on_turn)
+  UNION ALL SELECT c.conv_id, c.turn, d.depth + 1 FROM calls c JOIN depths d ON d.conv_id = c.conv_id AND d.turn = c.on_turn
+), items AS (
+  SELECT conv_id, turn, 0 AS k, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status, 0 AS depth,
          '{{"content":' || {_TEXT} || ',"role":"' || role || '","turn":' || turn || ',"type":"message"}}' AS json
   FROM conversations WHERE role NOT IN ('user', 'assistant')
   UNION ALL
   SELECT conv_id, turn, 1, 'call', 'c' || turn,
          CASE WHEN text IS NULL THEN 'type of prompt'
-              WHEN EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = c.conv_id AND r.role = 'assistant' AND r.turn = c.turn + 1) THEN 'ok' ELSE 'no result' END,
+              WHEN EXISTS (SELECT 1 FROM conversations r WHERE r.conv_id = c.conv_id AND r.role = 'assistant' AND r.turn = c.turn + 1) THEN 'ok' ELSE 'no result' END, depth,
          '{{"arguments":' || {_QUOTED_ARGUMENTS} || ',"id":"c' || turn || '","name":"reply","type":"call"}}'
-  FROM conversations c WHERE role = 'user'
+  FROM conversations c JOIN depths USING (conv_id, turn) WHERE role = 'user'
   UNION ALL
-  SELECT conv_id, turn, 2, 'result', 'c' || (turn - 1),
-         CASE WHEN EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = c.conv_id AND u.role = 'user' AND u.turn = c.turn - 1) THEN 'linked' ELSE 'no call' END,
-         '{{"content":' || {_TEXT} || ',"id":"c' || (turn - 1) || '","type":"result"}}'
-  FROM conversations c WHERE role = 'assistant'
+  SELECT r.conv_id, r.turn, 2, 'result', 'c' || (r.turn - 1),
+         CASE WHEN depth IS NULL THEN 'no call' WHEN row_number() OVER (PARTITION BY r.conv_id, r.turn ORDER BY text NULLS FIRST) = 1 THEN 'linked' ELSE 'repeated' END, coalesce(depth, 0),
+         '{{"content":' || {_TEXT} || ',"id":"c' || (r.turn - 1) || '","type":"result"}}'
+  FROM conversations r LEFT JOIN depths d ON d.conv_id = r.conv_id AND d.turn = r.turn - 1 WHERE role = 'assistant'
 )
-SELECT conv_id, turn, kind, call_id, status, CAST(0 AS INTEGER) AS depth, json,
-       row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, call_id, json) - 1 AS position
+SELECT conv_id, turn, kind, call_id, status, CAST(depth AS INTEGER) AS depth, json,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn, depth, k, call_id, json) - 1 AS position
 FROM items
 """,
 }

@@ -90,6 +90,11 @@ def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., which no operator's own names clash with, and the new name of each old one."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), {c: f"c{i}" for i, c in enumerate(df.columns)}
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text as long, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import in_arrow, map_batches, sized, written
+from twinloom.llm.common import in_arrow, map_batches, numbered, sized, written
 from twinloom.llm.components import components
 
 N, SIMILAR = 3, (90, 100)
@@ -327,13 +327,14 @@ def keep_one(docs: DataFrame, n: int = 5, similar: tuple[int, int] = (80, 100))
     null or repeated id with different texts are documents of their own. A
     null id comes after all others; of one id's texts the least hash is first.
     """
-    body = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), body.alias("body"))
-    found = join(docs.select(who.alias("doc_id"), "text"), n, similar)
+    own, name = numbered(docs)
+    body = F.xxhash64(F.coalesce(F.col(name["text"]).cast("string"), F.lit("")))
+    id_ = F.col(name["doc_id"])
+    who = F.struct(id_.isNull().alias("none"), id_.alias("id"), body.alias("body"))
+    found = join(own.select(who.alias("doc_id"), F.col(name["text"]).alias("text")), n, similar)
     keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("_size"))
     keep = written(keep.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.body").alias("_kept"), "_n", "_size"), "kept")
-    out = docs.withColumn("_body", body).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept")))
-    if keep.where("_n > 1 and _size > 0").isEmpty():
-        return out.select(*docs.columns)
-    one = out.where("_n = 1 or _size = 0").unionByName(out.where("_n > 1 and _size > 0").dropDuplicates(["doc_id", "_body"]))
-    return one.select(*docs.columns)
+    out = own.withColumn("_body", body).join(keep, id_.eqNullSafe(F.col("_id")) & (F.col("_body") == F.col("_kept")))
+    if not keep.where("_n > 1 and _size > 0").isEmpty():
+        out = out.where("_n = 1 or _size = 0").unionByName(out.where("_n > 1 and _size > 0").dropDuplicates([name["doc_id"], "_body"]))
+    return out.select(*own.columns).toDF(*docs.columns)

@@ -9,14 +9,16 @@ of each length's documents, then from the longest down until a window is left,
 then a bounded-knapsack dynamic programme over the remaining counts. Which
 documents of a length are taken more often is settled by a seeded hash.
 
-Only sums by source and counts by (source, length) leave the executors' row
-data; the sums by source (16 bytes or so each) come to the driver, and
-``MAX_SOURCES`` bounds them.
+Sources stay a table, however many there are: their places in the order come
+from range partitions and those partitions' sizes, and each round of sharing
+takes two sums to the driver. A source's lengths are fitted in one group, of a
+row for each different length.
 
 Defined cases: null and empty texts have size 0 and are taken 0 words; null
 source is a source of its own, and sources of no words get target 0; repeated
 rows and ids are documents of their own, of equal hash, of which the first in
-any order are taken; an empty table gives an empty table.
+any order are taken; a text of any length counts whole; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -26,12 +28,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import n_words, ranked, unit, written
+from pyspark.sql.window import Window
+
+from twinloom.llm.common import n_words, numbered, ranked, unit, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
-MAX_SOURCES = 2_000_000
 WINDOW = 1 << 16
+#: Sources of a range partition, where they are put into their order.
+TOGETHER = 50_000
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict:
@@ -53,6 +58,32 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
     return out
 
 
+def aims(sums: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """source, source_size and target of every row of sums (source, source_size): targets() for any number of sources.
+
+    A source that is full stays full when the others share what it leaves, so
+    a round is settled by one number, the words for each unit of weight.
+    """
+    sums = written(sums, "sums")
+    n = sums.count()
+    placed = written(sums.repartitionByRange(max(1, n // TOGETHER), F.col("source").asc_nulls_last()).withColumn("_part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last())) - 1
+    placed = placed.join(parts, F.col("_part") == F.col("_p")).withColumn("_place", place)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_place", F.lit(len(weights))) + 1).cast("int"))
+    placed = written(placed.select("source", "source_size", weight.alias("_w"), (F.lit(cap) * F.col("source_size")).alias("_most")), "weights")
+    left, open_ = placed.agg(F.lit(float(share)) * F.sum("source_size"), F.sum("_w")).first()
+    whole, each, full, last = left, (left or 0.0) / (open_ or 1.0), 0, -1
+    while full != last and open_:
+        last, is_full = full, F.col("_w") * F.lit(each) >= F.col("_most")
+        full, used, open_ = placed.agg(F.count_if(is_full), F.coalesce(F.sum(F.when(is_full, F.col("_most"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_full, F.col("_w"))), F.lit(0.0))).first()
+        if full != last and open_:
+            each = (whole - used) / open_
+    target = F.when(F.col("_w") * F.lit(each) >= F.col("_most"), F.col("_most").cast("double")).otherwise(F.col("_w") * F.lit(each))
+    return written(placed.select("source", "source_size", target.alias("target")), "aims")
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
     """How many documents of each length to take so that their words come as near below the budget as can be.
 
@@ -95,12 +126,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     """doc_id, source, size, source_size, target, copies and taken (size * copies) of every document."""
     kind = docs.schema[source_col].dataType.simpleString()
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["source_size"] for r in sums}
-    aim = targets(sizes, weights, share, cap)
-    plan = docs.sparkSession.createDataFrame([(s, sizes[s], aim[s]) for s in sizes], f"source {kind}, source_size long, target double")
+    plan = aims(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     counts = sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
@@ -126,9 +152,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them: a row for each time a document is taken, none for those that it leaves out.
 
-    Copies are matched by id; rows of one id are all taken as often as the one
-    of them that is taken most.
+    Rows are matched by id, source and size; what rows of the same share are
+    taken in all is dealt out among them, to one row once more than to another
+    at most.
     """
-    found = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    both = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key = ["doc_id", "source", "size"]
+    found = mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0").toDF("_id", "_source", "_size", "_all", "_rows")
+    own, name = numbered(docs)
+    rows = own.withColumns({"doc_id": F.col(name["doc_id"]), "source": F.col(name["source"]), "size": n_words(F.col(name["text"])), "_u": unit(F.col(name["text"]))})
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_id", "_source", "_size")
+    even = F.pmod("_all", "_rows") == 0
+    times = F.floor(F.col("_all") / F.col("_rows"))
+    uneven = ranked(both.where(~even), key, "_u", [], "_rank").withColumn("_times", times + (F.col("_rank") < F.pmod("_all", "_rows")).cast("long")).drop("_rank")
+    taken = both.where(even).withColumn("_times", times).unionByName(uneven).where("_times > 0")
+    return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*own.columns).toDF(*docs.columns)

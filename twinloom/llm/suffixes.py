@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import in_arrow, map_batches, written
+from twinloom.llm.common import in_arrow, map_batches, numbered, written
 
 LENGTH = 100
 GRAM = 32
@@ -402,14 +402,16 @@ def cut_text(text: str | None, spans: list[int] | None) -> str | None:
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents with repeated strings cut out of text, n_chars counted anew; a text of which nothing but blanks is left goes."""
-    both = _with_spans(docs, F.col("text"), "doc_id", "text", length)
+    own, name = numbered(docs)
+    text, chars = name["text"], name["n_chars"]
+    both = _with_spans(own, F.col(text), name["doc_id"], text, length)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        out["text"] = [cut_text(t, s) for t, s in zip(out["text"].to_pylist(), out["_spans"].to_pylist(), strict=True)]
+        out[text] = [cut_text(t, s) for t, s in zip(out[text].to_pylist(), out["_spans"].to_pylist(), strict=True)]
         out["_cut"] = out.pop("_spans").is_valid()
         return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    done = map_batches(both.select(*docs.columns, "_spans"), cut, f"{schema}, _cut boolean").where(~F.col("_cut") | (F.length(F.trim("text")) > 0))
-    return done.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    done = map_batches(both.select(*own.columns, "_spans"), cut, f"{schema}, _cut boolean").where(~F.col("_cut") | (F.length(F.trim(text)) > 0))
+    return done.withColumn(chars, F.when(F.col("_cut"), F.char_length(text).cast(own.schema[chars].dataType)).otherwise(F.col(chars))).select(*own.columns).toDF(*docs.columns)

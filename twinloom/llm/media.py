@@ -11,9 +11,19 @@ the shortest payload has pairs too. Peaks are not the bytes: a run of one
 letter, or a few bytes under the rising edge of the first window, have those
 of blanks.
 
+A row's feature tells equal fingerprints (by a digest) and compares others: it
+has the ``MARKS`` smallest hashes of the pairs that start in one frame, a
+bottom-k sketch, of which likeness() makes the estimated share of common
+frames. Frames lie on a grid of ``HOP`` samples, so passages that stand at
+another place of the grid do not meet.
+
+The query writes the media column to the shared folder and reads it again
+before anything is taken from it.
+
 Defined cases: null and empty texts are one unit of bytes 32; repeated rows
 give repeated equal results; a null id stays null; an empty table gives an
-empty table. Other columns are not looked at, whatever their names.
+empty table. A text of any length is stored and read whole. Other columns are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +45,7 @@ FRAME, HOP = 32, 8
 BANDS = ((2, 9), (9, 17))
 FAN = 3
 RATE = 8000
+MARKS = 12
 _FRAMES_AT_ONCE = 8192
 _NO_PAIR = 1 << 40
 _WINDOW = np.hanning(FRAME + 1)[:-1]
@@ -95,6 +106,27 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(at), dtype=np.int32), real.sum(axis=1)), codes[real].astype(np.int32)
 
 
+def feature(times: np.ndarray, codes: np.ndarray) -> str:
+    """Number of pairs, a digest of both arrays (as little-endian 32-bit integers), and the smallest hashes of frames, in order."""
+    digest = hashlib.sha256(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()[:16]
+    if not len(times):
+        return f"0:{digest}:"
+    first = np.flatnonzero(np.diff(times, prepend=-1))
+    # of the frames with equally many pairs only those have equal sums; the order within a frame is fixed
+    inner = np.arange(len(times)) - np.repeat(first, np.diff(np.append(first, len(times))))
+    odd = (codes.astype(np.uint64) + np.uint64(1)) * (inner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(0xD6E8FEB86659FD93))
+    total = np.add.reduceat(odd ^ (odd >> np.uint64(29)), first)
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(32)
+    return f"{len(times)}:{digest}:" + ",".join(f"{x:08x}" for x in np.unique(total)[:MARKS].tolist())
+
+
+def likeness(a: str, b: str) -> float:
+    """The estimated share of common frames among those of two fingerprints, from their features: 1 for equal ones."""
+    x, y = ({int(h, 16) for h in f.rpartition(":")[2].split(",") if h} for f in (a, b))
+    least = sorted(x | y)[:MARKS]
+    return sum(h in x and h in y for h in least) / len(least) if least else float(a == b)
+
+
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = RATE) -> DataFrame:
     """doc_id, n_bytes (of the text), media (the WAV file as binary)."""
     def encode(batch: pa.RecordBatch) -> dict:
@@ -109,10 +141,9 @@ def read_media(media: DataFrame, arrays: bool = True) -> DataFrame:
     """What the stored WAV files hold, next to their columns.
 
     Adds payload_bytes, payload_sha256, tail_crc32 (of the last 16 samples),
-    media_bytes, media_sha256 and feature; feature is the number of pairs and
-    a digest of both arrays as little-endian 32-bit integers. With arrays also
-    fp_times and fp_codes themselves, which take about six times 8 bytes for
-    every HOP samples.
+    media_bytes, media_sha256 and feature(). With arrays also fp_times and
+    fp_codes themselves, which take about six times 8 bytes for every HOP
+    samples.
     """
     def read(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | {k: [] for k in names}
@@ -122,7 +153,7 @@ def read_media(media: DataFrame, arrays: bool = True) -> DataFrame:
             row = {
                 "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]),
                 "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(),
-                "feature": f"{len(t)}:{hashlib.sha256(t.astype('<i4').tobytes() + c.astype('<i4').tobytes()).hexdigest()[:32]}",
+                "feature": feature(t, c),
                 "fp_times": t, "fp_codes": c,
             }
             for k in names:

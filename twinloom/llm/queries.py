@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm import chat, jaccard, langid, media, mixing, packing, search, suffixes, tokenids, toxicity
-from twinloom.llm.common import table
+from twinloom.llm.common import table, written
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.encode_media(table(spark, sf_dir, "documents")), arrays=False)
+    return media.read_media(written(media.encode_media(table(spark, sf_dir, "documents")), "media"), arrays=False)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from twinloom.llm import jaccard
 from twinloom.llm.components import components
@@ -90,3 +91,16 @@ def test_components_of_chains_and_stars(spark):
     r.shuffle(links)
     found = {x["node"]: x["root"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 500: 500, 501: 500}
+
+
+def test_fragments_are_even():
+    r = np.random.default_rng(4)
+    for found in (r.integers(0, 1 << 63, 200_000, dtype=np.uint64) * 2, np.repeat(r.integers(0, 1 << 63, 2000, dtype=np.uint64) * 2, r.zipf(1.5, 2000) % 5000)):
+        total = np.bincount(jaccard._counter(found, jaccard.SKETCH), minlength=jaccard.SKETCH)
+        load = jaccard.levels(total)
+        cuts = jaccard.pivots(load, 4)
+        share = np.bincount(np.searchsorted(cuts, jaccard.places(found, load), side="right"), minlength=4) / len(found)
+        assert len(cuts) == 3 and share.max() < 0.5 and share.min() > 0.05
+    assert np.abs(np.bincount(np.searchsorted(jaccard.pivots(np.ones(1 << 20, np.uint8), 4), np.arange(1 << 16) >> 8 | 1 << 8, side="right")) / (1 << 16) - 0.25).max() < 0.01
+    order = jaccard.levels(np.array([1, 63, 64, 80, 1000, 10**6, 10**8, 9 * 10**8])).tolist()
+    assert order == sorted(order) and len(set(order)) == len(order)

@@ -8,17 +8,20 @@ the same links; this one puts what few documents share first.
 1. Documents of equal sets are one class; only classes are joined.
 2. Two linked sets share one of the first |x| - ceil(t|x|) + 1 shingles of
    either in the global order. Those prefixes meet by shingle.
-3. The global order is cut into ``FRAGMENTS`` fragments. For a candidate pair
-   the overlap is counted in each fragment by itself and summed per pair, so
-   no task needs a whole set, however long a text is.
+3. The global order is cut into ``FRAGMENTS`` fragments of about equally many
+   (document, shingle) pairs, at a level of the sketch and a hash within it.
+   For a candidate pair the overlap is counted in each fragment by itself and
+   summed per pair, so no task needs more of a set than one fragment of it.
 
 A family of near copies is not expanded into all pairs: each set is compared
 with one leader first (the set that stands first among those that share its
 shingles), linked sets are put together, and only pairs of sets in different
 components go on, if sizes and the places of their first common shingle allow
-a link. Every pair that is left is compared exactly, so no link between
-components is lost. Keys that many rows share meet in joins whose large sides
-adaptive execution splits, after counts on the map side.
+a link; they meet by shingle and size, as sets of too different sizes can't be
+linked. Every pair that is left is compared exactly, so no link between
+components is lost. Keys that many rows share meet in joins of plain scans,
+whose large sides adaptive execution splits, after counts on the map side; the
+sketch's parts are added up for ``FAN`` tasks at a time, then for all.
 
 Sets are told apart by 64 bits of hash and their size.
 
@@ -31,12 +34,14 @@ empty table gives an empty table. Only the named columns are looked at.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +51,7 @@ from twinloom.llm.components import components
 N, SIMILAR = 3, (90, 100)
 SKETCH = 1 << 24
 _CHUNK = 1 << 16
+FAN = 128
 FRAGMENTS = 4
 _AT_ONCE = 1 << 19
 _rng = np.random.default_rng(20240501)
@@ -137,50 +143,72 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Counts as bytes that keep their order: below 64 as they are, above on a scale of sixteenths of an octave, up to 255."""
-    high = 64 + 16 * np.log2(np.maximum(counts, 64) / 64)
+    """Counts as bytes that keep their order: below 64 as they are, above on a scale of eighths of an octave, up to 255 (a billion)."""
+    high = 64 + 8 * np.log2(np.maximum(counts, 64) / 64)
     return np.minimum(np.where(counts < 64, counts, high), 255).astype(np.uint8)
 
 
 def sketch(docs: DataFrame, n: int, size: int = SKETCH) -> np.ndarray:
     """For each counter, the level of the number of (document, shingle) pairs that fall to it, over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total, part = np.zeros(size, np.uint32), TaskContext.get().partitionId()
         for batch in batches:
             for _, _, _, found in shingles(batch.column(0), n):
                 np.add.at(total, _counter(found, size), 1)
         for i in range(0, size, _CHUNK):
-            part = total[i : i + _CHUNK]
-            if part.any():
-                kind = np.uint8 if part.max() < 256 else np.uint32
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([np.dtype(kind).itemsize], pa.int32()), pa.array([zlib.compress(part.astype(kind).tobytes(), 1)], pa.binary())], ["chunk", "bytes", "counts"])
+            if total[i : i + _CHUNK].any():
+                width, counts = _packed(total[i : i + _CHUNK])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part], pa.int64()), pa.array([width], pa.int32()), pa.array([counts], pa.binary())], ["chunk", "part", "bytes", "counts"])
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def summed(rows: pd.DataFrame) -> np.ndarray:
         total = np.zeros(_CHUNK, np.int64)
         for width, c in zip(rows["bytes"], rows["counts"], strict=True):
-            part = np.frombuffer(zlib.decompress(c), np.uint8 if width == 1 else np.uint32)
+            part = np.frombuffer(zlib.decompress(c), f"u{width}")
             total[: len(part)] += part
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [zlib.compress(levels(total).tobytes(), 1)]})
+        return total
 
-    parts = in_arrow(docs.select("text"), count, "chunk long, bytes int, counts binary").groupBy("chunk").applyInPandas(add, "chunk long, levels binary").collect()
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        width, counts = _packed(summed(rows))
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bytes": [width], "counts": [counts]})
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "levels": [zlib.compress(levels(summed(rows)).tobytes(), 1)]})
+
+    parts = in_arrow(docs.select("text"), count, "chunk long, part long, bytes int, counts binary")
+    parts = parts.groupBy("chunk", F.floor(F.col("part") / FAN)).applyInPandas(some, "chunk long, bytes int, counts binary")
     out = np.zeros(-(-size // _CHUNK) * _CHUNK, np.uint8)
-    for r in parts:
+    for r in parts.groupBy("chunk").applyInPandas(whole, "chunk long, levels binary").collect():
         out[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out[:size]
 
 
+def _packed(counts: np.ndarray) -> tuple[int, bytes]:
+    """(bytes of a number, compressed numbers) of counts."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << 8 * w)
+    return width, zlib.compress(counts.astype(f"u{width}").tobytes(), 1)
+
+
 def _counter(found: np.ndarray, size: int) -> np.ndarray:
     return (found >> np.uint64(40)).astype(np.int64) % size
 
 
 def pivots(counts: np.ndarray, fragments: int) -> np.ndarray:
-    """Levels at which the global order is cut so that fragments hold about equally many shingles."""
+    """Places (level << 8 | first byte of the hash) at which the global order is cut so that fragments hold about equally many shingles."""
     mass = np.bincount(counts, minlength=256)
     values = np.arange(256)
-    load = np.cumsum(np.where(values < 64, values, 64 * 2.0 ** ((values - 64) / 16)) * mass)
-    if not len(load) or load[-1] == 0:
+    load = np.where(values < 64, values, 64 * 2.0 ** ((values - 64) / 8)) * mass
+    ends = np.cumsum(load)
+    if not ends[-1]:
         return np.zeros(0, np.int64)
-    return np.unique(values[np.searchsorted(load, load[-1] * np.arange(1, fragments) / fragments)]).astype(np.int64)
+    aim = ends[-1] * np.arange(1, fragments) / fragments
+    level = np.searchsorted(ends, aim)
+    inside = (aim - (ends - load)[level]) / load[level]  # hashes are spread evenly within a level
+    return np.unique(level << 8 | np.minimum(inside * 256, 255).astype(np.int64))
+
+
+def places(found: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """Where shingles stand in the global order, to the first byte of their hash."""
+    return load[_counter(found, len(load))].astype(np.int64) << 8 | (found >> np.uint64(56)).astype(np.int64)
 
 
 def prefix_length(n, similar: tuple[int, int]):
@@ -234,7 +262,7 @@ def fragments(texts: DataFrame, wanted: DataFrame, counts, cuts: np.ndarray, n:
             here, _, _, names = _sets(rows, found)
             true = np.isin(rows, here[names == sid[here]])  # an id may come with other texts too
             rows, found = rows[true], found[true]
-            where = np.searchsorted(cuts, load[_counter(found, len(load))])
+            where = np.searchsorted(cuts, places(found, load), side="right")
             key = rows * (len(cuts) + 1) + where
             order = np.argsort(key, kind="stable")
             values, at = np.unique(key[order], return_index=True)
@@ -285,6 +313,7 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR, id_col
     # prefixes, and the shingles that two classes share; key: place, then size, so that the least is the leader's
     rows = reps.select("node", F.col("n"), F.posexplode("prefix").alias("place", "token")).select("token", "node", (F.shiftleft(F.col("place").cast("long"), 36) + F.col("n")).alias("key"))
     lead = rows.groupBy("token").agg(F.min("key").alias("lead_key"), F.min_by("node", "key").alias("lead"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    lead = written(lead, "lead")
     shared = written(rows.join(lead.hint("merge"), "token"), "shared")  # the same plan at every size; adaptive execution splits a hot token's rows
     place, size = lambda c: F.shiftright(c, 36), lambda c: F.col(c).bitwiseAND(F.lit((1 << 36) - 1))
 
@@ -305,18 +334,22 @@ def join(docs: DataFrame, n: int = N, similar: tuple[int, int] = SIMILAR, id_col
         roots = components(known).withColumnRenamed("node", "_node")
         placed = placed.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node")).drop("_node")
     placed = written(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    placed = placed.join(mixed, "token").select("token", "node", size("key").alias("n"), place("key").alias("p"), "root")
+    mixed = written(placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    placed = placed.join(sized(mixed), "token").select("token", "node", size("key").alias("n"), place("key").alias("p"), "root")
     side = lambda s: placed.select("token", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"), F.col("root").alias(f"r{s}"))
-    cross = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible(similar)).select("a", "na", "b", "nb").distinct()
+    # sizes of linked sets lie in the same band or in neighbouring ones
+    unit = max(1e-6, math.log(similar[1] / similar[0])) * (1 + 1e-9)
+    band = lambda c: F.floor(F.log(F.col(c)) / F.lit(unit))
+    near = side("a").withColumn("band", F.explode(F.array(*[band("na") + i for i in (-1, 0, 1)])))
+    cross = near.join(side("b").withColumn("band", band("nb")), ["token", "band"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible(similar)).select("a", "na", "b", "nb").distinct()
     cross = written(cross, "cross")
     rest = written(links(cross, parts_of(cross), similar), "rest-links", cross.count())
     final = components(known.select("a", "b").unionByName(rest.select("a", "b")))
 
     named_docs = own.select("doc", "n_shingles", "sid").join(reps.select(F.col("sid").alias("_s"), "copies", "node"), F.col("sid") == F.col("_s"), "left").select("doc", "n_shingles", "copies", F.col("node").alias("_node"))
     whole = written(named_docs.join(final, F.col("_node") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_node")).drop("node", "_node"), "roots")
-    least = whole.where("root is not null").groupBy("root").agg(F.min("doc").alias("component_id"))
-    out = whole.join(least.withColumnRenamed("root", "_r"), F.col("root") == F.col("_r"), "left")
+    least = written(whole.where("root is not null").groupBy(F.col("root").alias("_r")).agg(F.min("doc").alias("component_id")), "least")
+    out = whole.join(sized(least), F.col("root") == F.col("_r"), "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 
 

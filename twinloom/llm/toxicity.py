@@ -16,13 +16,15 @@ itself) turns the vote into a calibrated probability. A text without any
 vocabulary term has no neighbour: its vote is the prior alone.
 
 The fit reads at most ``EXAMPLES`` labelled texts of each label, the first in
-the order of a hash of the id: a bounded sample, whatever the table's size.
+the order of a hash of the id, and of those at most ``BYTES`` bytes (texts that
+would go beyond are passed over): a bounded sample, whatever the table's size.
 The index (documented bound: 2 * EXAMPLES vectors over TERMS terms, a few MB)
 goes to the executors with the function; scoring reads every whole text once.
 
 Defined cases: null and empty texts get the score of a text without terms;
 null ids are scored and never learnt from; labels that are null are not
-learnt; several labels of one id count each; without examples of both labels
+learnt; several labels of one id count each; of an id's texts the least is
+learnt; texts of any length are scored whole; without examples of both labels
 every score is the share of toxic ones (0 without any); repeated rows get
 equal results; an empty table gives an empty table.
 """
@@ -39,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinloom.llm.common import map_batches, unit
+from twinloom.llm.common import map_batches, unit, written
 
-EXAMPLES = 3000
+EXAMPLES, BYTES = 3000, 64 << 20
 TERMS = 8192
 BLOCK = 64
 K = 15
@@ -193,8 +195,8 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[Index, list]:
-    """(index, ids of the sample) from at most examples texts of each label, none of them held out."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, most: int = BYTES) -> tuple[Index, list]:
+    """(index, ids of the sample) from at most examples texts of each label and most bytes of texts, none of them held out."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out(F.col("_id")))
     shares = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = unit(F.lit(5), F.col("_id"))
@@ -203,9 +205,17 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> tuple[I
         # about twice the sample passes the hash filter, so that no task gathers more than that
         return known.where((F.col("_toxic") == y) & (order < min(1.0, 2.0 * examples / max(1, shares.get(y, 0))))).orderBy(order, "_id").limit(examples)
 
-    few = some(1).unionByName(some(0))
-    # at most 2 * examples ids: a bounded broadcast, so the texts are not shuffled
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").toPandas()
+    few = written(some(1).unionByName(some(0)), "labelled", 2 * examples)
+    # at most 2 * examples ids: a bounded broadcast, so only their texts are shuffled, and one text of each id is left
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few.select("_id").distinct()), "_id")
+    own = written(own.groupBy("_id").agg(F.min("text").alias("text")), "examples", 2 * examples)
+    chosen, left = [], most
+    for r in own.select("_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(order, "_id").collect():
+        if r["n"] <= left:
+            chosen.append((r["_id"],))
+            left -= r["n"]
+    ids = docs.sparkSession.createDataFrame(chosen, own.select("_id").schema)
+    rows = few.join(own.join(F.broadcast(ids), "_id", "left_semi"), "_id").select(F.col("_id").alias("doc_id"), "text", "_toxic").toPandas()
     rows = rows.sort_values(["doc_id", "_toxic", "text"], ignore_index=True)
     marks = rows["_toxic"].astype(int).tolist()
     index = Index(rows["text"].tolist(), marks, tuple(shares.get(y, 0) / max(1, marks.count(y)) for y in (0, 1)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinloom import functions as fn
 from twinloom.model import Twin
 from twinloom.operators import checks, graph, merging, series, states
+from twinloom.operators.windows import discrete_quantiles
 from twinloom.plans import bind, check_rows, measure, parse, parse_check, parse_temporal
 from twinloom.plans.compile import limited
 from twinloom.sources.tables import CUSTOMER, NATION, ORDER, SUPPLIER, twin
@@ -224,7 +225,7 @@ def discrete_signals(t: Twin) -> DataFrame:
 @query(f"SELECT event_type AS signal, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events JOIN customer ON user_id = c_custkey GROUP BY event_type")
 def percentiles(t: Twin) -> DataFrame:
     rows = t.points.join(t.series.select("sid", "signal"), "sid")
-    return rows.groupBy("signal").agg(*[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return discrete_quantiles(rows, "signal", "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 # ---- checks ------------------------------------------------------------------

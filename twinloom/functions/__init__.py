@@ -44,6 +44,11 @@ def provenance_name(byte: Column) -> Column:
     return out.otherwise("Unknown")
 
 
+def comparable(byte: Column) -> Column:
+    """Whether a value of this class may be held against a specification: only observations may."""
+    return byte == PROVENANCE.index("Observation")
+
+
 def source_provenance(source: Column) -> Column:
     """0 for data of a controller, 1 for those of agents and sensors, null for other sources."""
     return F.when(source == "plc", 0).when(source.isin("agent", "sensor"), 1)

@@ -36,7 +36,8 @@ def reach(twin: Twin, start: DataFrame, hops: int, topology: str | None = None,
     level is written, so plans stay small and nothing comes to the driver.
     """
     here, there = ("src", "dst") if out else ("dst", "src")
-    links = edges(twin, topology, at).select(F.col(here).alias("_from"), F.col(there).alias("key")).distinct()
+    links = edges(twin, topology, at).select(F.col(here).alias("_from"), F.col(there).alias("key"))
+    links = written(links, "links") if hops > 1 else links  # else every level would read all relations' sources again
     seen = frontier = written(start.select("key").distinct().withColumn("hops", F.lit(0)), "reach")
     for level in range(1, hops + 1):
         frontier = written(frontier.select(F.col("key").alias("_from")).join(links, "_from").select("key").distinct().join(seen, "key", "left_anti").withColumn("hops", F.lit(level)), "reach")
@@ -58,7 +59,7 @@ def trace(twin: Twin, source: DataFrame, target: DataFrame, hops: int = 6) -> Da
     found = twin.spark.createDataFrame([], "path array<bigint>")
     if not goals:
         return found
-    links = twin.live().select(F.col("src").alias("_from"), F.col("dst").alias("key"), "idx")
+    links = written(twin.live().select(F.col("src").alias("_from"), F.col("dst").alias("key"), "idx"), "links")
     seen = frontier = written(source.select("key", F.expr("cast(array() as array<bigint>)").alias("path")), "trace")
     for level in range(hops + 1):
         size, path = frontier.agg(F.count(F.lit(1)), F.min(F.when(F.col("key") == goals[0], F.col("path")))).first()
@@ -140,14 +141,14 @@ def address_space(twin: Twin, discrete: DataFrame | None = None) -> DataFrame:
     from pyspark.sql.window import Window
 
     from twinloom.operators.checks import units
+    from twinloom.operators.windows import places
 
-    place = lambda c: F.row_number().over(Window.orderBy(c)) - 1  # noqa: E731  of distinct names only
-    folders = entity_types(twin).select("type", (100 + place("type")).cast("bigint").alias("id"))
+    folders = entity_types(twin).select("type", (99 + F.row_number().over(Window.orderBy("type"))).cast("bigint").alias("id"))  # types are few
     objects = twin.entities.join(folders.withColumnRenamed("id", "parent"), "type").select(F.lit("object").alias("kind"), (1000 + F.col("key")).alias("id"), "parent", "name", F.col("type").alias("detail"))
     refs = twin.live().select(F.lit("reference").alias("kind"), (1000 + F.col("dst")).alias("id"), (1000 + F.col("src")).alias("parent"), F.lit("HasComponent").alias("name"), fn.joined_type(F.col("topology"), F.col("rel_type")).alias("detail"))
     names = twin.series.select("name").distinct()
     owners = twin.entities.groupBy("name").agg(F.min("key").alias("key")).withColumnRenamed("name", "entity")
-    variables = names.withColumn("n", place("name")).withColumn("entity", F.substring_index("name", ".", 1)).join(owners, "entity", "left")
+    variables = places(names, "name", "n").withColumn("entity", F.substring_index("name", ".", 1)).join(owners, "entity", "left")
     if discrete is not None:
         variables = variables.join(discrete.select(F.col("series").alias("name"), "discrete"), "name", "left")
     else:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from twinloom import functions as fn
 from twinloom.model import CHUNK, Twin
+from twinloom.operators.windows import SPAN, neighbours
 
 
 def scan(twin: Twin, name: str, lo: int, hi: int) -> DataFrame:
@@ -21,14 +22,19 @@ def statistics(twin: Twin, lo: int, hi: int) -> DataFrame:
     return twin.series.select("sid", "name").join(got, "sid", "left").select("name", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("sum", F.lit(0.0)).alias("sum"), "min", "max")
 
 
+def chunked(twin: Twin, size: int = CHUNK) -> DataFrame:
+    """Points with the number of their chunk in their batch."""
+    placed = neighbours(twin.points, ["sid", "batch_id"], F.floor(F.col("seq") / SPAN), ["seq"], F.lit(0))
+    return placed.withColumn("chunk", F.floor((F.col("_n") - 1) / size)).drop("_n", "_last")
+
+
 def chunks(twin: Twin, size: int = CHUNK) -> DataFrame:
     """sid, batch_id, chunk, t0, t_end, count, min, max: each batch of a series cut into runs of size points as appended.
 
     t0 and t_end are the first and last point appended, as in a file of
     chunks; for points appended in order of time they bound the chunk.
     """
-    rank = F.row_number().over(Window.partitionBy("sid", "batch_id").orderBy("seq")) - 1
-    rows = twin.points.withColumn("chunk", F.floor(rank / size))
+    rows = chunked(twin, size)
     return rows.groupBy("sid", "batch_id", "chunk").agg(F.min_by("t", "seq").alias("t0"), F.max_by("t", "seq").alias("t_end"), F.count(F.lit(1)).alias("count"), fn.aggregate("min", F.col("v")).alias("min"), fn.aggregate("max", F.col("v")).alias("max"))
 
 
@@ -43,10 +49,15 @@ def expired(twin: Twin, before: int, size: int = CHUNK) -> DataFrame:
     return chunks(twin, size).withColumn("_kept", F.max((F.col("t_end") >= before).cast("int")).over(run)).where("_kept = 0").drop("_kept")
 
 
-def retained(twin: Twin, before: int, size: int = CHUNK) -> DataFrame:
-    """The points that retention leaves."""
-    rank = F.row_number().over(Window.partitionBy("sid", "batch_id").orderBy("seq")) - 1
-    return twin.points.withColumn("chunk", F.floor(rank / size)).join(expired(twin, before, size).select("sid", "batch_id", "chunk"), ["sid", "batch_id", "chunk"], "left_anti").select(*twin.points.columns)
+def overdue(twin: Twin, before: int, size: int = CHUNK) -> DataFrame:
+    """All chunks that end before the instant, those behind a later one of their series too (which only points out of order make)."""
+    return chunks(twin, size).where(F.col("t_end") < before)
+
+
+def retained(twin: Twin, before: int, size: int = CHUNK, parity: bool = False) -> DataFrame:
+    """The points that retention leaves; with parity, overdue() chunks go, and not only the counted expired() ones."""
+    gone = (overdue if parity else expired)(twin, before, size).select("sid", "batch_id", "chunk")
+    return chunked(twin, size).join(gone, ["sid", "batch_id", "chunk"], "left_anti").select(*twin.points.columns)
 
 
 def latest(twin: Twin, lo: int, hi: int) -> DataFrame:
@@ -61,15 +72,19 @@ def discrete(twin: Twin, lo: int, hi: int) -> DataFrame:
     return twin.series.select("sid", F.col("name").alias("series")).distinct().join(got, "sid", "left").select("series", F.coalesce("discrete", F.lit(False)).alias("discrete"))
 
 
+def _edges(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with _n and _last as neighbours() has them of "over" in order of time; before the second row nothing is over."""
+    return neighbours(rows, keys, F.floor(F.col("t") / SPAN), ["t", "batch_id", "seq"], F.col("over")).withColumn("_last", F.when(F.col("_n") == 2, False).otherwise(F.col("_last")))
+
+
 def crossings(points: DataFrame, threshold: float) -> DataFrame:
     """sid, t, v, over for each change of (v > threshold) between neighbours in time.
 
     The first point of a series is skipped and the second compared with
     "not over". Null and NaN values are not over.
     """
-    order = Window.partitionBy("sid").orderBy("t", "batch_id", "seq")
-    rows = points.withColumn("over", F.coalesce((F.col("v") > threshold) & ~F.isnan("v"), F.lit(False))).withColumn("_n", F.row_number().over(order))
-    rows = rows.withColumn("_last", F.when(F.col("_n") == 2, False).otherwise(F.lag("over").over(order)))
+    rows = points.withColumn("over", F.coalesce((F.col("v") > threshold) & ~F.isnan("v"), F.lit(False)))
+    rows = _edges(rows, ["sid"])
     return rows.where((F.col("_n") >= 2) & (F.col("over") != F.col("_last"))).select("sid", "t", "v", "over")
 
 
@@ -77,13 +92,12 @@ def alarms(points: DataFrame, rules: DataFrame) -> DataFrame:
     """name, entity, ts, details of the events of alarm rules (series, entity, name, threshold, detail, detail_clear).
 
     A rise is logged under the rule's name, the return as name_clear; {obs} and
-    {thr} in the texts stand for the value and the threshold. One window over
+    {thr} in the texts stand for the value and the threshold. One pass over
     the points that rules watch, whatever the number of rules.
     """
     watched = points.join(rules.withColumn("sid", fn.series_id(F.col("series"))), "sid")
-    order = Window.partitionBy("sid", "name").orderBy("t", "batch_id", "seq")
-    rows = watched.withColumn("over", F.coalesce((F.col("v") > F.col("threshold")) & ~F.isnan("v"), F.lit(False))).withColumn("_n", F.row_number().over(order))
-    rows = rows.withColumn("_last", F.when(F.col("_n") == 2, False).otherwise(F.lag("over").over(order))).where((F.col("_n") >= 2) & (F.col("over") != F.col("_last")))
+    rows = watched.withColumn("over", F.coalesce((F.col("v") > F.col("threshold")) & ~F.isnan("v"), F.lit(False)))
+    rows = _edges(rows, ["sid", "name"]).where((F.col("_n") >= 2) & (F.col("over") != F.col("_last")))
     text = F.when(F.col("over"), F.col("detail")).otherwise(F.col("detail_clear"))
     text = F.replace(F.replace(text, F.lit("{obs}"), F.col("v").cast("string")), F.lit("{thr}"), F.col("threshold").cast("string"))
     return rows.select(F.when(F.col("over"), F.col("name")).otherwise(F.concat("name", F.lit("_clear"))).alias("name"), "entity", F.col("t").alias("ts"), fn.clipped(text).alias("details"))

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from twinloom import functions as fn
 from twinloom.model import OPEN, Twin
+from twinloom.operators.windows import SPAN, neighbours
 
 
 def intervals(twin: Twin) -> DataFrame:
     """seq, entity, key, value, valid_from, valid_to: a write is closed by the next one of its (entity, key), however far back that lies."""
-    after = F.lead("wat").over(Window.partitionBy("entity", "key").orderBy("seq"))
-    return twin.states.select("seq", "entity", "key", "value", F.col("wat").alias("valid_from"), F.coalesce(after, F.lit(OPEN)).alias("valid_to"))
+    rows = neighbours(twin.states, ["entity", "key"], F.floor(F.col("seq") / SPAN), ["seq"], F.col("wat"), back=True)
+    return rows.select("seq", "entity", "key", "value", F.col("wat").alias("valid_from"), F.coalesce("_last", F.lit(OPEN)).alias("valid_to"))
 
 
 def at(twin: Twin, instant: int) -> DataFrame:

@@ -35,6 +35,12 @@ def smoke(spark: SparkSession) -> int:
     return 0 if len(found) == 2 else 1
 
 
+def retain_once(agent: Agent, days: int, now: float | None = None) -> dict:
+    """One round of periodic retention over the latest snapshot."""
+    agent.refresh()
+    return agent.retain(int(time.time() if now is None else now) - days * DAY)
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="twinloom")
     parser.add_argument("mode", choices=("smoke", "open"), nargs="?")
@@ -59,8 +65,9 @@ def main(args: list[str] | None = None) -> int:
     agent = Agent(Store(spark, options.db), options.agent, options.role)
     if options.retention_days is not None:
         def keep() -> None:
+            own = Agent(Store(spark, options.db), f"{options.agent}-retention", options.role)  # its own snapshot: conflicts are told by the store
             while True:
-                agent.retain(int(time.time()) - options.retention_days * DAY)
+                retain_once(own, options.retention_days)
                 time.sleep(3600)
 
         threading.Thread(target=keep, daemon=True).start()

@@ -9,6 +9,7 @@ raises WriteForbidden.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Sequence
 
@@ -20,7 +21,7 @@ from twinloom.model import CHUNK, EARLIEST, LATEST, PROVENANCE, Twin
 from twinloom.operators import checks, diagnosis, graph, series, states
 from twinloom.plans import ExecutionError, ParseError, bind, check_rows, measure, parse, parse_check, parse_temporal
 from twinloom.plans.compile import limited
-from twinloom.sources.store import Store
+from twinloom.sources.store import Conflict, Store
 
 #: Limits of names and inline props in bytes, and the code of a refused write (fixed values).
 NAME_MAX, PROPS_MAX, FORBIDDEN = 23, 44, -32003
@@ -40,6 +41,27 @@ def failure(text: str) -> dict:
     return {"error": text}
 
 
+#: How often a write starts again when others commit before it does.
+ATTEMPTS = 8
+
+
+def write(method: Callable) -> Callable:
+    """A method that starts again from the latest snapshot if another writer has committed meanwhile; it is audited once."""
+    @functools.wraps(method)
+    def again(self: Agent, *args, **named):  # noqa: ANN202
+        for left in reversed(range(ATTEMPTS)):
+            noted = len(self.entries)
+            try:
+                return method(self, *args, **named)
+            except Conflict:
+                if not left:
+                    raise
+                del self.entries[noted:]
+                self.refresh()
+
+    return again
+
+
 class Agent:
     """One caller of one twin, or of a stored twin."""
 
@@ -244,6 +266,7 @@ class Agent:
         self._note("set_hypothesis", "REFUSED (no hypothesis write in any role)")
         return failure("refused: no agent role may write a hypothesis; a hypothesis must never be promoted to fact by the engine or by an agent")
 
+    @write
     def ingest_points(self, entity: str, signal: str, points: Sequence[tuple[int, float]]) -> dict:
         store = self._writing("ingest_points")
         self._note("ingest_points", f"entity={entity} signal={signal} n={len(points)}")
@@ -263,6 +286,7 @@ class Agent:
         self._committed()
         return {"accepted": len(points), "chunks_flushed": -(-len(points) // CHUNK), "series_id": self.twin.series.where(F.col("name") == name).first()["ord"]}
 
+    @write
     def upsert_entity(self, name: str, type: str, props: Sequence[tuple[str, str | None]] = (), relations: Sequence[tuple[str, str, int | None]] = (), source: str = "plc") -> dict:
         """relations: (target's name, 'topology:type', valid_from or None)."""
         store = self._writing("upsert_entity")
@@ -315,6 +339,7 @@ class Agent:
             return {}
         return {r["name"]: r["key"] for r in self.twin.entities.where(F.col("name").isin(list(names))).groupBy("name").agg(F.min("key").alias("key")).collect()}
 
+    @write
     def remove_relation(self, idx: int) -> None:
         """Marks a relation as removed; not a method of the wire."""
         store = self._writing("remove_relation")
@@ -322,6 +347,7 @@ class Agent:
         store.commit(relations=self.twin.relations.where(F.col("idx") == idx).withColumn("dead", F.lit(True)))
         self._committed()
 
+    @write
     def set_state(self, entity: str, key: str, value: str, at: int | None = None) -> dict:
         store = self._writing("set_state")
         at = self.now() if at is None else at
@@ -330,6 +356,7 @@ class Agent:
         self._committed()
         return {"set": True, "entity": entity, "key": key}
 
+    @write
     def log_event(self, name: str, entity: str, timestamp: int | None = None, provenance: int = 1, details: str = "") -> dict:
         store = self._writing("log_event")
         timestamp = self.now() if timestamp is None else timestamp
@@ -339,6 +366,7 @@ class Agent:
         self._committed()
         return {"logged": True, "event": name, "entity": entity}
 
+    @write
     def retain(self, before: int | None = None) -> dict:
         store = self._writing("retain")
         before = self.now() if before is None else before

@@ -343,18 +343,16 @@ def prov_relations(t: Twin) -> DataFrame:
 
 
 CARDS = f"SELECT src AS key, 'out' AS direction, idx, rel_type AS type, topology, dst AS other_key, dst_name AS other, provenance, valid_from, valid_to FROM ({RELATIONS}) UNION ALL SELECT dst, 'in', idx, rel_type, topology, src, src_name, provenance, valid_from, valid_to FROM ({RELATIONS})"
-NATIONS = f"key IN (SELECT {N_KEY} FROM nation)"
 
 
-@query(f"SELECT key, direction, idx, type, topology, other, {CLASS} AS provenance, valid_from, valid_to FROM ({CARDS}) WHERE {NATIONS}")
+@query(f"SELECT key, direction, idx, type, topology, other, {CLASS} AS provenance, valid_from, valid_to FROM ({CARDS})")
 def entity_card(t: Twin) -> DataFrame:
-    return graph.cards(t, t.entities.where("type = 'Nation'")).select("key", "direction", "idx", "type", "topology", "other", "provenance", "valid_from", "valid_to")
+    return graph.cards(t, t.entities).select("key", "direction", "idx", "type", "topology", "other", "provenance", "valid_from", "valid_to")
 
 
-@query(f"SELECT src AS key, dst AS other, 'out' AS direction FROM ({RELATIONS}) WHERE topology = 'geo' AND src IN (SELECT {N_KEY} FROM nation) UNION ALL SELECT dst, src, 'in' FROM ({RELATIONS}) WHERE topology = 'geo' AND dst IN (SELECT {N_KEY} FROM nation)")
+@query(f"SELECT src AS key, dst AS other, 'out' AS direction FROM ({RELATIONS}) UNION ALL SELECT dst, src, 'in' FROM ({RELATIONS})")
 def neighbors_in_out(t: Twin) -> DataFrame:
-    keys = t.entities.where("type = 'Nation'")
-    both = [graph.neighbours(t, keys, "geo", out).select("key", "other", F.lit("out" if out else "in").alias("direction")) for out in (True, False)]
+    both = [graph.neighbours(t, t.entities, None, out).select("key", "other", F.lit("out" if out else "in").alias("direction")) for out in (True, False)]
     return both[0].unionByName(both[1])
 
 
@@ -373,9 +371,9 @@ def trace_path(t: Twin) -> DataFrame:
     return graph.steps(t, path).select("pos", "from", "relation_type", "topology", "to", "provenance")
 
 
-@query(f"SELECT c.key, direction, idx, type, topology, other, e.type AS other_type FROM (SELECT * FROM ({CARDS}) WHERE {NATIONS}) c JOIN ({ENTITIES}) e ON e.key = c.other_key".replace("c.key, direction, idx, type,", "c.key, direction, idx, c.type AS type,"))
+@query(f"SELECT c.key, direction, idx, type, topology, other, e.type AS other_type FROM ({CARDS}) c JOIN ({ENTITIES}) e ON e.key = c.other_key".replace("c.key, direction, idx, type,", "c.key, direction, idx, c.type AS type,"))
 def deps(t: Twin) -> DataFrame:
-    return graph.cards(t, t.entities.where("type = 'Nation'")).select("key", "direction", "idx", "type", "topology", "other", "other_type")
+    return graph.cards(t, t.entities).select("key", "direction", "idx", "type", "topology", "other", "other_type")
 
 
 @query(f"SELECT key, topology, count(*) AS edge_count, string_agg(DISTINCT type, ',' ORDER BY type) AS relation_types FROM ({CARDS}) GROUP BY key, topology")

@@ -12,7 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from twinloom import functions as fn
-from twinloom.sources.store import Store
+from twinloom.sources.store import Conflict, Store
+
+#: How often an epoch is tried when other writers commit before it does.
+ATTEMPTS = 8
 
 
 def ingest(readings: DataFrame, store: Store, checkpoint: str, name: str = "ingest", **trigger) -> StreamingQuery:
@@ -25,20 +28,28 @@ def ingest(readings: DataFrame, store: Store, checkpoint: str, name: str = "inge
     def append(rows: DataFrame, epoch: int) -> None:
         rows = rows.persist()
         try:
-            if rows.isEmpty():
-                return
-            store.refresh()
-            full = rows.select(fn.series_name(F.col("entity"), F.col("signal")).alias("name"), F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v")).withColumn("sid", fn.series_id(F.col("name")))
-            order = F.row_number().over(Window.partitionBy("sid").orderBy("t", "v")) - 1
-            points = full.select("sid", F.lit(store.manifest["version"] + 1).cast("bigint").alias("batch_id"), order.cast("bigint").alias("seq"), "t", "v")
-            start = store.table("series").count()
-            fresh = full.select("sid", "name").distinct().join(store.table("series").select("sid"), "sid", "left_anti")
-            place = F.row_number().over(Window.orderBy("name")) - 1 + start  # of new names only
-            series = fresh.select("sid", "name", F.substring_index("name", ".", 1).alias("entity"), F.expr("substring(name, instr(name, '.') + 1)").alias("signal"), place.cast("bigint").alias("ord"))
-            store.commit(stream=(name, epoch), points=points, series=series)
+            for left in reversed(range(ATTEMPTS)):
+                try:
+                    return commit(rows, epoch)
+                except Conflict:  # another writer was faster: once more from the latest snapshot
+                    if not left:
+                        raise
         finally:
             rows.unpersist()
 
+    def commit(rows: DataFrame, epoch: int) -> None:
+        if rows.isEmpty():
+            return
+        store.refresh()
+        full = rows.select(fn.series_name(F.col("entity"), F.col("signal")).alias("name"), F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v")).withColumn("sid", fn.series_id(F.col("name")))
+        order = F.row_number().over(Window.partitionBy("sid").orderBy("t", "v")) - 1
+        points = full.select("sid", F.lit(store.manifest["version"] + 1).cast("bigint").alias("batch_id"), order.cast("bigint").alias("seq"), "t", "v")
+        start = store.table("series").count()
+        fresh = full.select("sid", "name").distinct().join(store.table("series").select("sid"), "sid", "left_anti")
+        place = F.row_number().over(Window.orderBy("name")) - 1 + start  # of new names only
+        series = fresh.select("sid", "name", F.substring_index("name", ".", 1).alias("entity"), F.expr("substring(name, instr(name, '.') + 1)").alias("signal"), place.cast("bigint").alias("ord"))
+        store.commit(stream=(name, epoch), points=points, series=series)
+
     return readings.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"availableNow": True})).start()
 
 

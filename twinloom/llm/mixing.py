@@ -158,11 +158,21 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """
     key = ["doc_id", "source", "size"]
     found = mix(docs, **how).groupBy(*key).agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0").toDF("_id", "_source", "_size", "_all", "_rows")
-    own, name = numbered(docs)
-    rows = own.withColumns({"doc_id": F.col(name["doc_id"]), "source": F.col(name["source"]), "size": n_words(F.col(name["text"])), "_u": unit(F.col(name["text"]))})
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_id", "_source", "_size")
+    found = written(found, "shares")
     even = F.pmod("_all", "_rows") == 0
     times = F.floor(F.col("_all") / F.col("_rows"))
-    uneven = ranked(both.where(~even), key, "_u", [], "_rank").withColumn("_times", times + (F.col("_rank") < F.pmod("_all", "_rows")).cast("long")).drop("_rank")
-    taken = both.where(even).withColumn("_times", times).unionByName(uneven).where("_times > 0")
+    own, name = numbered(docs)
+    rows = own.withColumns({"doc_id": F.col(name["doc_id"]), "source": F.col(name["source"]), "size": n_words(F.col(name["text"]))})
+
+    def sharing(some: DataFrame) -> DataFrame:
+        """The rows of these shares; texts are read, and their words counted, once a call."""
+        both = rows.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+        return both.drop("_id", "_source", "_size").withColumn("_times", times)
+
+    taken = sharing(found.where(even))
+    uneven = found.where(~even)
+    if not uneven.isEmpty():  # only repeated ids share unevenly
+        dealt = written(sharing(uneven).withColumn("_u", unit(F.col(name["text"]))), "uneven")
+        taken = taken.unionByName(ranked(dealt, key, "_u", [], "_rank").withColumn("_times", F.col("_times") + (F.col("_rank") < F.pmod("_all", "_rows")).cast("long")).drop("_rank", "_u"))
+    taken = taken.where("_times > 0")
     return taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*own.columns).toDF(*docs.columns)

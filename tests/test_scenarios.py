@@ -6,6 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 from twinloom import __main__ as command
+from twinloom import scenarios
 from twinloom.api import Agent
 from twinloom.client import CallError, Client
 from twinloom.model import Twin
@@ -13,6 +14,7 @@ from twinloom.operators import series, windows
 from twinloom.rpc import http_server
 from twinloom.sources import generate
 from twinloom.sources.store import Conflict, Store
+from twinloom.sources.tables import TABLES
 
 
 def test_two_writers_lose_nothing(spark, tmp_path):
@@ -89,6 +91,21 @@ def test_overdue_chunks_behind_later_ones(spark):
     assert left(False) == [3, 4, 90, 91] and left(True) == [90, 91]
 
 
+def test_refresh_shows_values_of_any_time(spark, tmp_path):
+    """Points past the test tables' end, before 1970 and without a time, and a series without a name."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, "click", -5, 1.0), (0, "click", scenarios.NOW + 133, 0.0), (0, "view", -7, 2.0), (1, "view", None, 1.0), (1, "click", 9, None), (1, "click", None, 1.0), (1, None, 3, 0.0)]
+    events = spark.createDataFrame([(i, u, k, t, v) for i, (u, k, t, v) in enumerate(rows)], "event_id long, user_id long, event_type string, t long, value double")
+    stamp = F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")
+    events.select("event_id", stamp, "user_id", "event_type", "value", F.lit("").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, f"C{i}", 0, 0.0, "") for i in range(2)], TABLES["customer"]).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("events", "customer"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in scenarios.QUERIES["series_refresh"](spark, str(tmp_path)).collect()]
+    assert len(got) == 5 and sorted(got, key=str) == sorted(con.sql(scenarios.ORACLE_SQL["series_refresh"]).fetchall(), key=str)
+
+
 def test_client(spark):
     agent = Agent(generate.line(spark), clock=lambda: 0)
     local = Client.of(agent)

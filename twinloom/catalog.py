@@ -219,7 +219,7 @@ def alarm_events(t: Twin) -> DataFrame:
 
 @query(f"SELECT name AS series, coalesce(bool_and(v IN (0, 1)), false) AS discrete FROM ({POINTS}) GROUP BY name")
 def discrete_signals(t: Twin) -> DataFrame:
-    return series.discrete(t, 0, NOW)
+    return series.discrete(t)
 
 
 @query(f"SELECT event_type AS signal, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events JOIN customer ON user_id = c_custkey GROUP BY event_type")
@@ -383,7 +383,7 @@ def topology_summary(t: Twin) -> DataFrame:
 
 @query(f"SELECT kind, count(*) AS n, min(id) AS lo, max(id) AS hi FROM (SELECT 'folder' AS kind, (99 + row_number() OVER (ORDER BY type))::BIGINT AS id FROM (SELECT DISTINCT type FROM ({ENTITIES})) UNION ALL SELECT 'object', 1000 + key FROM ({ENTITIES}) UNION ALL SELECT 'reference', 1000 + dst FROM ({RELATIONS}) UNION ALL SELECT 'variable', 1999 + row_number() OVER (ORDER BY name) FROM (SELECT DISTINCT name FROM ({POINTS})) UNION ALL SELECT 'unit', 3000 + n FROM (SELECT name, row_number() OVER (ORDER BY name) - 1 AS n FROM (SELECT DISTINCT name, NULL FROM ({POINTS}))) WHERE name IN (SELECT c_name || '.purchase' FROM customer WHERE c_custkey % 3 = 0)) GROUP BY kind")
 def address_space(t: Twin) -> DataFrame:
-    return graph.address_space(t, series.discrete(t, 0, NOW)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return graph.address_space(t, series.discrete(t)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
 
 
 # ---- merging -----------------------------------------------------------------

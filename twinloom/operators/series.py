@@ -60,15 +60,20 @@ def retained(twin: Twin, before: int, size: int = CHUNK, parity: bool = False) -
     return chunked(twin, size).join(gone, ["sid", "batch_id", "chunk"], "left_anti").select(*twin.points.columns)
 
 
-def latest(twin: Twin, lo: int, hi: int) -> DataFrame:
-    """name, t, v of the newest point of each series in a window."""
-    got = twin.points_in(lo, hi).groupBy("sid").agg(F.max_by(F.struct("t", "v"), F.struct("t", "batch_id", "seq")).alias("p"))
+def _within(twin: Twin, lo: int | None, hi: int | None) -> DataFrame:
+    """The points of a window; without its ends all points, those without a time too."""
+    return twin.points if lo is None or hi is None else twin.points_in(lo, hi)
+
+
+def latest(twin: Twin, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """name, t, v of the newest point of each series in a window, or of all its points."""
+    got = _within(twin, lo, hi).groupBy("sid").agg(F.max_by(F.struct("t", "v"), F.struct("t", "batch_id", "seq")).alias("p"))
     return got.join(twin.series.select("sid", "name").distinct(), "sid").select("name", F.col("p.t").alias("t"), F.col("p.v").alias("v"))
 
 
-def discrete(twin: Twin, lo: int, hi: int) -> DataFrame:
-    """series, discrete: whether a series has points in the window and all are 0 or 1."""
-    got = twin.points_in(lo, hi).groupBy("sid").agg(F.bool_and(F.col("v").isin(0.0, 1.0)).alias("discrete"))
+def discrete(twin: Twin, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """series, discrete: whether a series has points in the window (or at all) and all are 0 or 1."""
+    got = _within(twin, lo, hi).groupBy("sid").agg(F.bool_and(F.col("v").isin(0.0, 1.0)).alias("discrete"))
     return twin.series.select("sid", F.col("name").alias("series")).distinct().join(got, "sid", "left").select("series", F.coalesce("discrete", F.lit(False)).alias("discrete"))
 
 

@@ -222,5 +222,6 @@ def crc_of_names(t: TableTwin) -> DataFrame:
 
 @query(f"SELECT name, discrete, {SEC.format('ts')} AS t FROM (SELECT c_name || '.' || event_type AS name, max(ts) AS ts, coalesce(bool_and(value IN (0, 1)), false) AS discrete FROM events JOIN customer ON user_id = c_custkey GROUP BY 1)")
 def series_refresh(t: TableTwin) -> DataFrame:
-    """What a refresh of the address space shows of every variable: its kind and the time of its newest value."""
-    return series.latest(t, 0, NOW).join(series.discrete(t, 0, NOW).withColumnRenamed("series", "name"), "name").select("name", "discrete", "t")
+    """What a refresh of the address space shows of every variable: its kind and the time of its newest value, whenever that was."""
+    kinds = series.discrete(t)
+    return series.latest(t).join(kinds, F.col("name").eqNullSafe(F.col("series"))).select("name", "discrete", "t")

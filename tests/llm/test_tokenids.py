@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from twinloom.llm import idcoder, tokenids
 
 ODD = ["", " ", "don't STOP, it's 5.5%..", "a b c　d\x85e", "x\x1cy\x1dz \x1e", "ΟΔΥΣΣΕΥΣ Σ. İstanbul,", "é café ́x", "<|startoftext|> <|endoftext|>.", "ﬁ ǅ ß. Ünïcödé, naïve. 中文。日本", "tab\tnew\r\nline\x0b\x0c", "a.b,c . , ., x.,", "\x01 \x00 \x7f", "😀👍🏽 ok", "𝔘𝔫𝔦", "word" * 400]
@@ -44,6 +45,12 @@ def test_blocks_are_independent():
     assert idcoder.decode_blocks(codes[2:], sizes[:1], tables).tolist() == ids[2:].tolist()
 
 
+def test_all_neighbours_are_counted():
+    """Of two ids that alternate, both have a successor, however long the file is."""
+    tables, _ = idcoder.Tables.fitted(np.tile([7, 9], 750_000))
+    assert tables.names.tolist() == [7, 9] and tables.after.tolist() == [1, 0] and tables.level.tolist() == [3, 3]
+
+
 def test_wide_ids():
     ids = np.array([0, 2**32 - 1, 70_000, 2**31, 70_000, 5] * 900 + list(range(1 << 18, (1 << 18) + 3000)), np.int64)
     image = idcoder.pack_file(ids, [7], np.array([len(ids)]))
@@ -90,3 +97,15 @@ def test_files(spark):
     # a null text counts as empty, and sorts with it
     assert [x[0] for x in got] == [x[0] for x in want] and sorted(x[1:] for x in got if x[1] is not None) == sorted(x[1:] for x in want if x[1] is not None)
     assert tokenids.read_files(tokenids.write_files(docs.limit(0))).collect() == []
+
+
+def test_texts_of_one_id_have_one_order(spark):
+    """Texts that begin alike are told apart by all they hold, however the rows came."""
+    rows = [(1, "word " * 20 + " ".join(["more"] * (i * 37 % 101)) + str(i % 150)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are one partition
+    try:
+        one, two = (sorted((x["start"], x["n_tokens"], x["ids_crc32"]) for x in tokenids.read_files(tokenids.write_files(d)).collect()) for d in (docs.repartition(7), docs.orderBy(F.length("text").desc()).coalesce(1)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert one == two and len(one) == 300

@@ -6,8 +6,8 @@ of three orders:
 * order 2: the id that last followed the two ids before, in this block, with a
   confidence (how often it has been right in a row, up to 3);
 * order 1: the id that most often follows the id before, with one of four
-  levels of how often; the file's head has this table, fitted on at most
-  ``PAIRS`` neighbours spread evenly over the file;
+  levels of how often; the file's head has this table, counted over all
+  neighbours in the file;
 * order 0: the frequencies of all ids in the file, in units of 2**-bits, in its head.
 
 An id is one of three events: the order-2 prediction holds, the order-1
@@ -29,7 +29,6 @@ import numpy as np
 
 BLOCK = 2048
 LANES = 4096
-PAIRS = 1 << 20
 MAGIC = b"TLI2"
 #: Most different ids of a file.
 MOST = 1 << 21
@@ -73,8 +72,7 @@ class Tables:
         whole = 1 << max(18, d.bit_length() + 1)
         units = 1 + count * (whole - d) // len(ids)
         units[np.argmax(units)] += whole - int(units.sum())
-        at = np.arange(0, len(ids) - 1, max(1, -(-(len(ids) - 1) // PAIRS)))
-        pairs, n = np.unique(places[at].astype(np.int64) * d + places[at + 1], return_counts=True)
+        pairs, n = np.unique(places[:-1].astype(np.int64) * d + places[1:], return_counts=True)
         order = np.lexsort((-n, pairs // d))
         first = order[np.concatenate((np.ones(min(1, len(order)), bool), np.diff(pairs[order] // d) != 0))]
         after, level = np.zeros(d, np.int64), np.zeros(d, np.int64)

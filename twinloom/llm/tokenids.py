@@ -13,8 +13,8 @@ test holds this against whole texts). A text that holds an added token's
 letters, in any case, is tokenized as a whole.
 
 Defined cases: a null or empty text has the end id only; null ids come first;
-repeated ids are documents of their own, in the order of their texts; a text of
-any length is tokenized whole, in one file; an empty table writes no file and
+repeated ids are documents of their own, in the order of their texts' first 32
+characters and then of a hash of their whole texts; a text of any length is tokenized whole, in one file; an empty table writes no file and
 gives an empty table. Only the id and text columns are looked at.
 """
 
@@ -193,8 +193,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def write_files(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """The written files of all documents: part, number, n_ids, image; in their order, ids ascend."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one id may hold any share of the rows: its texts are parted by how they begin, and equal rows anyhow
-    rows = rows.withColumn("_row", F.pmod(F.monotonically_increasing_id(), F.lit(4096))).repartitionByRange("doc_id", F.substring("text", 1, 32), "_row").drop("_row").sortWithinPartitions("doc_id", "text")
+    # one id may hold any share of the rows: its texts are parted by how they begin and by a hash of the whole, and equal rows anyhow
+    whole = ["doc_id", F.substring("text", 1, 32), F.xxhash64("text")]
+    rows = rows.withColumn("_row", F.pmod(F.monotonically_increasing_id(), F.lit(4096))).repartitionByRange(*whole, "_row").drop("_row").sortWithinPartitions(*whole, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, number = pieces(tokenizer_path(name), end_id), TaskContext.get().partitionId(), 0

@@ -81,6 +81,54 @@ def test_pieces_against_whole_texts():
             assert part.tolist() == [*whole.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
+class Counted:
+    """A tokenizer whose calls for single pieces are counted."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    @property
+    def model(self):
+        return self
+
+    def encode(self, *args, **kinds):
+        self.calls += 1
+        return self.tokenizer.encode(*args, **kinds)
+
+    def tokenize(self, word):
+        self.calls += 1
+        return self.tokenizer.model.tokenize(word)
+
+
+@pytest.mark.parametrize("group", [4096, 7])
+def test_new_words_are_learnt_together(monkeypatch, group):
+    """Words of plain letters go to the library by thousands, and once whatever marks follow them."""
+    monkeypatch.setattr(tokenids, "GROUP", group, raising=False)
+    own = tokenids.Pieces(tokenids.tokenizer_path(), 1)
+    whole = own.tokenizer
+    own.tokenizer = counted = Counted(whole)
+    r = random.Random(6)
+    words = list({"".join(r.choice("aeinrstéñüß") for _ in range(r.randint(3, 12))) for _ in range(9000)})
+    texts = [" ".join(w + r.choice(["", ",", ".", "***", "?!", "'"]) for w in words[i : i + 100] * 3) for i in range(0, len(words), 100)]
+    ids, counts = own.encode(pa.array(texts))
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert all(p.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1] for t, p in zip(texts, parts, strict=True))
+    assert counted.calls < 10 and len(own) < len(words) + 10
+
+
+def test_letters_and_marks_at_every_edge():
+    """Each character up to U+02FF between letters, at an end, and before and after each ASCII mark; slices of an array, empty texts among them."""
+    own = tokenids.Pieces(tokenids.tokenizer_path(), 1)
+    texts = ["", "z"]
+    for c in map(chr, range(1, 0x300)):
+        texts += [f"{c}", f"a{c}b {c}a b{c}", " ".join(f"x{c}{chr(m)} {chr(m)}{c} {c}{chr(m)}s" for m in range(33, 127) if not chr(m).isalnum()), "", ".", "é"]
+    for some in (pa.array(texts), pa.array(texts).slice(3, 700), pa.array(texts[:1]), pa.array(texts).slice(1, 0)):
+        ids, counts = own.encode(some)
+        ends = np.cumsum(counts)
+        for text, n, e in zip(some.to_pylist(), counts.tolist(), ends.tolist(), strict=True):
+            assert ids[e - n : e].tolist() == [*own.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_files(spark):
     r = random.Random(4)
     rows = [(i * 7 % 2801 - 5, r.choice(ODD) + " more " * r.randint(0, 40), "x") for i in range(2801)] + [(None, "none", "x"), (None, None, "x"), (3, "again", "x"), (3, "again", "x"), (10**12, "", "x")]

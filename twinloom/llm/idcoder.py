@@ -72,7 +72,9 @@ class Tables:
         whole = 1 << max(18, d.bit_length() + 1)
         units = 1 + count * (whole - d) // len(ids)
         units[np.argmax(units)] += whole - int(units.sum())
-        pairs, n = np.unique(places[:-1].astype(np.int64) * d + places[1:], return_counts=True)
+        kind = np.uint32 if d <= 1 << 16 else np.int64  # the narrower is sorted faster
+        pairs, n = np.unique(places[:-1].astype(kind) * kind(d) + places[1:].astype(kind), return_counts=True)
+        pairs = pairs.astype(np.int64)
         order = np.lexsort((-n, pairs // d))
         first = order[np.concatenate((np.ones(min(1, len(order)), bool), np.diff(pairs[order] // d) != 0))]
         after, level = np.zeros(d, np.int64), np.zeros(d, np.int64)
@@ -105,27 +107,46 @@ class _Model:
         self.ids = np.full(lanes * _SLOTS, -4, np.int32)
         self.counts = np.ones((17 * lanes, 4), np.float32)
         self.lane = np.arange(lanes)
-        self.slots, self.own = self.lane * _SLOTS, lanes + 16 * self.lane
+        self.slots, self.own, self.cells = self.lane * _SLOTS, lanes + 16 * self.lane, 4 * self.lane
         self.after, self.level = (np.append(x, 0) for x in (tables.after.astype(np.int32), tables.level))
 
     def look(self, n: int, last: np.ndarray, older: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the first n lanes: order-2 slots and their entries, order-1 predictions, rows of counts, and the ends of the three events' shares."""
+        """Of the first n lanes: order-2 slots and their entries, order-1 predictions, rows of counts, and where the three events' shares begin and the last ends."""
         at = self.slots[:n] + ((last * 40503 + older * 30011 >> 5) & (_SLOTS - 1))
         entries, after = self.ids.take(at), self.after.take(last)
         row = self.own[:n] + ((entries & 3) << 2 | self.level.take(last))
         f = self.counts.take(row, axis=0)
         f += self.counts[:n]
-        ends = np.empty((3, n), np.float32)
-        ends[0] = f[:, 0]
-        np.add(ends[0], f[:, 1], out=ends[1])
-        np.add(ends[1], f[:, 2], out=ends[2])
+        ends = np.empty((4, n), np.float32)
+        ends[0], ends[1] = 0, f[:, 0]
+        np.add(ends[1], f[:, 1], out=ends[2])
+        np.add(ends[2], f[:, 2], out=ends[3])
         return at, entries, after, row, ends.astype(np.uint64)
 
-    def learn(self, at, entries, row, ids, event) -> None:
-        self.ids[at] = (ids << 2) + np.where(entries >> 2 == ids, np.minimum((entries & 3) + 1, 3), 0)
+    def share(self, ends: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, width) of each lane's event."""
+        n = len(event)
+        at = event * n
+        at += self.lane[:n]
+        flat = ends.reshape(-1)
+        begin = flat.take(at)
+        at += n
+        width = flat.take(at)
+        width -= begin
+        return begin, width
+
+    def learn(self, at, entries, row, ids, event, hit) -> None:
+        """hit: where the order-2 entry's id came."""
+        trust = entries & 3
+        trust += 1
+        np.minimum(trust, 3, out=trust)
+        trust *= hit
+        trust |= ids << 2
+        self.ids[at] = trust
         flat = self.counts.reshape(-1)
-        flat[row * 4 + event] += _STEP
-        flat[self.lane[: len(event)] * 4 + event] += _STEP
+        for cell in (row * 4, self.cells[: len(event)].copy()):
+            cell += event
+            flat[cell] = flat.take(cell) + _STEP
 
 
 def _carried(words: np.ndarray, lanes: np.ndarray, used: np.ndarray) -> None:
@@ -149,12 +170,16 @@ def encode_blocks(blocks: np.ndarray, sizes: np.ndarray, tables: Tables) -> list
         n = int(np.searchsorted(-sizes, -t))
         x = wide[t + 2, :n]
         at, entries, after, row, ends = model.look(n, wide[t + 1, :n], wide[t, :n])
-        event = np.where(entries >> 2 == x, 0, 2 - (after == x))
-        model.learn(at, entries, row, x, event)
-        part = span[:n] // ends[2]
-        begin = np.where(event == 0, np.uint64(0), ends[np.maximum(event - 1, 0), model.lane[:n]])
-        lo = low[:n] + part * begin
-        part *= ends[event, model.lane[:n]] - begin
+        hit = entries >> 2 == x
+        event = np.subtract(2, after == x, dtype=np.int64)
+        np.putmask(event, hit, 0)
+        model.learn(at, entries, row, x, event, hit)
+        part = span[:n] // ends[3]
+        begin, share = model.share(ends, event)
+        begin *= part
+        begin += low[:n]
+        lo = begin
+        part *= share
         rare = np.flatnonzero(event == 2)
         unit = part[rare] >> tables.bits
         lo[rare] += unit * tables.below.take(x[rare])
@@ -199,20 +224,24 @@ def decode_blocks(codes: list[bytes], sizes: np.ndarray, tables: Tables) -> np.n
     for t in range(width):
         n = int(np.searchsorted(-sizes, -t))
         at, entries, after, row, ends = model.look(n, out[t + 1, :n], out[t, :n])
-        part = span[:n] // ends[2]
+        part = span[:n] // ends[3]
         value = code[:n] // part
-        event = (ends[0] <= value).astype(np.int64) + (ends[1] <= value)
-        begin = np.where(event == 0, np.uint64(0), ends[np.maximum(event - 1, 0), model.lane[:n]])
-        rest = code[:n] - part * begin
-        part *= ends[event, model.lane[:n]] - begin
-        x = np.where(event == 0, entries >> 2, after)
+        event = (ends[1] <= value).astype(np.int64)
+        event += ends[2] <= value
+        begin, share = model.share(ends, event)
+        begin *= part
+        rest = code[:n] - begin
+        part *= share
+        guess = entries >> 2
+        x = after.copy()
+        np.copyto(x, guess, where=event == 0)
         rare = np.flatnonzero(event == 2)
         unit = part[rare] >> tables.bits
         got = who.take((rest[rare] // unit).astype(np.int64), mode="clip")
         x[rare] = got
         rest[rare] -= unit * tables.below.take(got)
         part[rare] = unit * tables.wide.take(got)
-        model.learn(at, entries, row, x, event)
+        model.learn(at, entries, row, x, event, guess == x)
         out[t + 2, :n] = x
         go = np.flatnonzero(part < _LEAST)
         while len(go):

@@ -9,8 +9,10 @@ at a time. Offsets come from the sums of files: one small row a file.
 Texts are cut at white space before tokenizing, and a piece that was met
 before takes its ids from a table of about ``CACHE`` pieces: the tokenizer
 drops white space, so pieces are tokenized alone as they are in the text (a
-test holds this against whole texts). A text that holds an added token's
-letters, in any case, is tokenized as a whole.
+test holds this against whole texts). Words are parted from marks after them,
+as the pre-tokenizer does, and new words of plain letters go to the library's
+model by thousands. A text that holds an added token's letters, in any case,
+is tokenized as a whole.
 
 Defined cases: a null or empty text has the end id only; null ids come first;
 repeated ids are documents of their own, in the order of their texts' first 32
@@ -20,10 +22,12 @@ gives an empty table. Only the id and text columns are looked at.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ from twinloom.llm.common import in_arrow, written
 END_ID = 1
 FILE_IDS = 8 << 20
 CACHE = 600_000
+#: Words that the model is given as one text.
+GROUP = 4096
 TOKENIZER = "word_bpe_49k.json"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -51,17 +57,57 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: UTF-16 of the characters that stand for bytes; a blank stands for itself, between words.
+_SPELT = np.array([32 if b == 32 else ord(_LETTERS[b]) for b in range(256)], "<u2")
+_MARKS = np.array([chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(256)])
+
+
+def _letters(lead: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether two bytes are a letter from U+00C0 to U+024F (all there are letters but for two signs)."""
+    return (lead >= 0xC3) & (lead <= 0xC9) & (last >= 0x80) & (last <= 0xBF) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """texts (in lower case) with a blank between a letter and a mark after it, where the pre-tokenizer cuts in any case."""
+    if not len(texts) or texts.buffers()[2] is None:
+        return texts
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    own = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    mark = _MARKS.take(own)
+    at = np.flatnonzero(mark[1:] > mark[:-1]) + 1
+    one, two = own.take(at - 1), own.take(at - 2, mode="wrap")
+    at = at[(one >= 97) & (one <= 122) | (at > 1) & _letters(two, one)]
+    moved = ends - ends[0] + np.searchsorted(at, ends - ends[0])  # a blank at a text's end or start does nothing
+    if moved[-1] >= 1 << 31:
+        return texts
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved.astype(np.int32)), pa.py_buffer(np.insert(own, at, 32)))
+
+
+def _plain(found: pa.Array) -> np.ndarray:
+    """Of pieces in lower case that aren't empty: whether one consists of a to z and letters from U+00C0 to U+024F."""
+    ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    own = np.frombuffer(found.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    pair = _letters(own[:-1], own[1:])
+    good = (own >= 97) & (own <= 122)
+    good[:-1] |= pair
+    good[1:] |= pair
+    return np.logical_and.reduceat(good, ends[:-1] - ends[0])
 
 
 class Pieces(dict):
     """Places of the pieces met so far; a piece that is asked for and not there is noted for learn()."""
 
     def __init__(self, path: str, end_id: int) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        # the same model for words that are spelt in its letters already and parted by blanks
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # of each id: it ends a word
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.reset()
 
@@ -80,41 +126,59 @@ class Pieces(dict):
         return place
 
     def learn(self) -> None:
-        """Finds the ids of the noted pieces.
-
-        A word of letters that is followed by one full stop or comma is looked
-        up without it: the tokenizer parts letters from marks. Words of plain
-        lower-case letters go to the vocabulary's model directly, byte by byte
-        as its pre-tokenizer would hand them over; anything else takes the
-        whole way. A whole text, in a tuple, does too, and is not kept.
-        """
-        tokenize, marks = self.tokenizer.model.tokenize, self.marks
+        """Finds the ids of the noted pieces, by the whole way. A whole text, in a tuple, is not kept."""
         flat: list[int] = []
-        sizes, rest = [], []
+        sizes = []
         for piece in self.fresh:
             if isinstance(piece, tuple):
                 del self[piece]
-                got = self.tokenizer.encode(piece[0], add_special_tokens=False).ids
-                flat += got
-                sizes.append(len(got))
-                continue
-            word, tail = (piece[:-1], marks[piece[-1]]) if piece[-1] in ".," else (piece, ())
-            if word.isascii():
-                plain = word.isalpha() and word.islower()
-            else:
-                plain = word.isalpha() and max(word) < "\u0250" and word == word.lower()
-            if plain:
-                got = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]
-                got += tail
-            else:
-                got = self.tokenizer.encode(piece, add_special_tokens=False).ids
+                piece = piece[0]
+            got = self.tokenizer.encode(piece, add_special_tokens=False).ids
             flat += got
             sizes.append(len(got))
         self.fresh = []
-        size = np.array(sizes, np.int64)
+        self.add(np.array(flat, np.uint32), np.array(sizes, np.int64))
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        """Appends the ids of pieces, one piece after the other."""
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.array(flat, np.uint32)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def learn_words(self, words: pa.Array) -> None:
+        """Finds the ids of words of plain letters, which the pre-tokenizer leaves whole: many at once, spelt as it would hand them over.
+
+        A word's last id is the only one that ends a word, so the ids of many are parted by it.
+        """
+        got: list[np.ndarray] = []
+        for i in range(0, len(words), 64 * GROUP):
+            some = words.slice(i, 64 * GROUP)
+            groups = pa.ListArray.from_arrays(pa.array([*range(0, len(some), GROUP), len(some)], pa.int32()), some)
+            spelt = [_SPELT.take(np.frombuffer(x.encode(), np.uint8)).tobytes().decode("utf-16-le") for x in pc.binary_join(groups, " ").to_pylist()]
+            got += [np.array(e.ids, np.uint32) for e in self.words.encode_batch_fast(spelt, add_special_tokens=False)]
+        ids = np.concatenate(got)
+        size = np.diff(np.flatnonzero(self.last.take(ids)), prepend=-1)
+        if len(size) != len(words) or size.sum() != len(ids):
+            raise ValueError("the tokenizer parts or joins words of letters")
+        self.used += len(words)
+        self.add(ids, size)
+
+    def known(self, found: pa.Array) -> np.ndarray:
+        """The place of each of these different pieces."""
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found), "\n")[0].as_py().split("\n")  # no piece has a line's end
+        places = np.fromiter(map(self.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            pieces_ = found.take(pa.array(new))
+            plain = _plain(pieces_) & self.last.any()
+            words = new[plain]
+            if len(words):
+                places[words] = np.arange(self.used, self.used + len(words))
+                self.update(zip(map(names.__getitem__, words.tolist()), places[words].tolist(), strict=True))
+                self.learn_words(pieces_.filter(pa.array(plain)))
+            for i in new[~plain].tolist():
+                places[i] = self[names[i]]
+        return places
 
     def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(place of each piece, number of pieces of each text) of texts without nulls."""
@@ -132,10 +196,9 @@ class Pieces(dict):
         lower = pc.utf8_lower(texts)
         for mark in self.added:  # in any case: an added token counts only as it is written, and is looked for before letters change
             strange |= pc.match_substring(lower, mark).to_numpy(zero_copy_only=False)
-        plain = pc.utf8_split_whitespace(lower.filter(pa.array(~strange))) if not strange.all() else pa.array([], pa.list_(pa.string()))
+        plain = pc.utf8_split_whitespace(_parted(lower.filter(pa.array(~strange)) if strange.any() else lower)) if not strange.all() else pa.array([], pa.list_(pa.string()))
         found = plain.flatten().dictionary_encode()
-        known = np.fromiter(map(self.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))
-        at = known[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
+        at = self.known(found.dictionary)[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
         counts = np.zeros(len(texts), np.int64)
         counts[~strange] = np.diff(plain.offsets.to_numpy()) if len(plain) else 0
         if not strange.any():
@@ -162,6 +225,8 @@ class Pieces(dict):
         """(all ids with the end id after each text, number of ids of each text); null texts are empty."""
         if len(self) > CACHE:
             self.reset()
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         at, counts = self.places(pc.fill_null(texts, ""))
         if self.fresh:
             self.learn()
@@ -179,6 +244,7 @@ _PIECES: dict[tuple[str, int], Pieces] = {}
 
 def pieces(path: str, end_id: int) -> Pieces:
     """This worker's table for a tokenizer file."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
     if (path, end_id) not in _PIECES:
         _PIECES[path, end_id] = Pieces(path, end_id)
     return _PIECES[path, end_id]
